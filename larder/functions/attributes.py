@@ -100,7 +100,8 @@ def attribute_exclusion(request: Column, raw_title: Column, title: Column, brand
                         drained: Column) -> Column:
     """First requested attribute the product does not show, or NULL.
 
-    ``raw_title`` keeps its punctuation for percentages; the rest is folded.
+    ``raw_title`` keeps its punctuation for percentages; the rest is folded.  Pass columns, not
+    long expressions: every claim reads them.
     """
     shown = Shown(title, categories, drained)
     tests = []

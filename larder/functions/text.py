@@ -19,6 +19,15 @@ from pyspark.sql.types import StringType
 APOSTROPHES = "’'"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A long CASE over an expensive expression would repeat that expression in every branch; a
+    lambda variable holds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _decomposed(ch: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.category(c).startswith("M"))
 

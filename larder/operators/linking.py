@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.policy import classify
 from ..functions.text import fold_text, leftover_words, strip_preparation
-from ..session import broadcast_if_small
 
 CANDIDATES_KEPT = 8
 TAP_WATER = r"^(?:(?:boiling|hot|cold|warm|ice|tap|filtered|lukewarm|distilled) )?water$|^ice cubes?$"
@@ -56,7 +55,7 @@ def link_aliases(names: DataFrame, aliases: DataFrame, longest: int = 6) -> Data
         "clean", strip_preparation(F.col("original")))
     runs = F.array_union(word_runs(F.col("clean"), longest), F.array("original", "clean"))
     phrases = folded.select("name", "original", "clean", F.explode(runs).alias("alias"))
-    hits = phrases.join(broadcast_if_small(aliases), "alias")
+    hits = phrases.join(aliases, "alias")
     exact = (F.col("alias") == F.col("original")) | (F.col("alias") == F.col("clean"))
     order = F.struct(exact.cast("int").alias("exact"), F.length("alias").alias("len"), (-F.col("rule_order")).alias("order"))
     best = hits.withColumn("exact", exact).withColumn("__order", order).groupBy("name").agg(

@@ -9,7 +9,6 @@ from ..functions.money import COST_TYPE, ore, price_unit_key, round_cost
 from ..functions.pricing import line_cost
 from ..functions.text import name_key
 from ..functions.units import canonical_amount, measure_unit, serving_scale
-from ..session import broadcast_if_small
 
 
 def with_overrides(lines: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ("menu_id", "recipe_id", "ingredient_index")) -> DataFrame:
@@ -31,14 +30,14 @@ def reference_amounts(lines: DataFrame, aliases: DataFrame, measures: DataFrame)
 
     lines (name, unit, ...); aliases (alias, food_id); measures (food_id, unit, size, grams_per_unit),
     where ``size`` is NULL except for counts, which need an explicit size in the name.
-    Both dimensions are curated and small, checked before they are broadcast.
+    Both dimensions are curated; whether they are broadcast is left to their measured size.
     """
     keyed = lines.withColumn("__key", name_key(F.col("name"))).withColumn("__unit", measure_unit(F.col("unit")))
     size = F.nullif(F.regexp_extract("__key", r"\b(small|medium|large)\b", 1), F.lit(""))
     keyed = keyed.withColumn("__size", F.when(F.col("__unit") == "count", F.coalesce(size, F.lit("?"))).otherwise(""))
-    foods = broadcast_if_small(aliases.select(F.col("alias").alias("__key"), "food_id"))
-    table = broadcast_if_small(measures.select(
-        "food_id", F.col("unit").alias("__unit"), F.coalesce("size", F.lit("")).alias("__size"), "grams_per_unit"))
+    foods = aliases.select(F.col("alias").alias("__key"), "food_id")
+    table = measures.select(
+        "food_id", F.col("unit").alias("__unit"), F.coalesce("size", F.lit("")).alias("__size"), "grams_per_unit")
     return keyed.join(foods, "__key", "left").join(table, ["food_id", "__unit", "__size"], "left").drop("__key", "__unit", "__size")
 
 

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import broadcast_if_small
 
 STATES = ("yes", "no", "unknown")
 CHUNK_WIDTH = 1024
@@ -65,7 +64,7 @@ def available_only(recipes: DataFrame, lines: DataFrame, broken: DataFrame) -> D
 def without_curated_exclusions(recipes: DataFrame, rules: DataFrame, slot: str | None = None) -> DataFrame:
     """Drop reviewed source defects.  rules (recipe_id, slot), slot ``all`` hits every request."""
     hit = rules.filter(F.col("slot").isin("all", *([slot] if slot else []))).select("recipe_id").distinct()
-    return recipes.join(broadcast_if_small(hit), "recipe_id", "left_anti")
+    return recipes.join(hit, "recipe_id", "left_anti")
 
 
 def filter_sets(classifications: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
@@ -213,7 +212,7 @@ def gram_index(titles: DataFrame, key: str, title: str, n: int = GRAM) -> DataFr
     return lowered.select("id", "title", F.explode(grams(F.col("title"), n)).alias("gram"))
 
 
-def title_search(titles: DataFrame, key: str, title: str, queries: DataFrame) -> DataFrame:
+def title_search(titles: DataFrame, key: str, title: str, queries: Mapping[int, str]) -> DataFrame:
     """(query_id, id) of titles containing each query text, ignoring case.
 
     A query of three or more characters probes the trigram postings with *one* gram, the
@@ -221,22 +220,17 @@ def title_search(titles: DataFrame, key: str, title: str, queries: DataFrame) ->
     enough for completeness, and the rarest one keeps common grams from multiplying
     pairs.  A shorter query is itself a gram of its own length.
     """
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("q")).filter(F.length("q") > 0)
-    size = F.least(F.length("q"), F.lit(GRAM)).alias("n")
-    sized = asked.withColumn("n", size)
+    spark = titles.sparkSession
+    asked = {i: q.strip().lower() for i, q in queries.items() if q.strip()}
     found = []
-    for n in range(1, GRAM + 1):
-        probes = sized.filter(F.col("n") == n).select("query_id", "q", F.explode(grams(F.col("q"), n)).alias("gram"))
-        side = broadcast_if_small(probes)
-        if not side.limit(1).count():
-            continue
-        postings = gram_index(titles, key, title, n).join(broadcast_if_small(probes.select("gram").distinct()), "gram", "left_semi")
+    for n in sorted({min(len(q), GRAM) for q in asked.values()}):
+        sized = spark.createDataFrame([(i, q) for i, q in asked.items() if min(len(q), GRAM) == n], "query_id int, q string")
+        probes = sized.select("query_id", "q", F.explode(grams(F.col("q"), n)).alias("gram"))
+        postings = gram_index(titles, key, title, n).join(probes.select("gram").distinct(), "gram", "left_semi")
         if n == GRAM:
             counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
-            probes = probes.join(counts, "gram").groupBy("query_id", "q").agg(
-                F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
-            side = broadcast_if_small(probes)
-        found.append(postings.join(side, "gram").filter(F.contains("title", "q")).select("query_id", "id"))
+            probes = probes.join(counts, "gram").groupBy("query_id", "q").agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
+        found.append(postings.join(probes, "gram").filter(F.contains("title", "q")).select("query_id", "id"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

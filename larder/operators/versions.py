@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import broadcast_if_small
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -52,7 +51,7 @@ def build_versions(entries: DataFrame, snapshots: DataFrame, keys: Sequence[str]
     over_scans = Window.partitionBy(*scope).orderBy("revision")
     scans = snapshots.select(*scope, "revision").distinct().select(
         *scope, "revision", F.row_number().over(over_scans).alias("__rank"), F.lead("revision").over(over_scans).alias("__next_scan"))
-    rows = entries.join(broadcast_if_small(scans), [*scope, "revision"])
+    rows = entries.join(scans, [*scope, "revision"])
     by_key = Window.partitionBy(*keys).orderBy("__rank")
     before = F.lag(F.struct("__rank", content)).over(by_key)
     starts = before.isNull() | (before["__rank"] != F.col("__rank") - 1) | ~before[content].eqNullSafe(F.col(content))
@@ -103,10 +102,11 @@ def holds_at(revision: Column) -> Column:
 def as_of(versions: DataFrame, snapshots: DataFrame, scope: Sequence[str] = ("store",)) -> DataFrame:
     """Every version visible in every given snapshot.
 
-    The snapshot side is one row per scan; it is broadcast when small, so the range
-    condition runs as the residual of a hash join on the scope and versions never move.
+    The join is an equi-join on the scope with the interval as its residual.  The snapshot
+    side is one row per scan, so adaptive execution turns it into a hash join once its
+    measured size allows, and versions do not move.
     """
-    side = broadcast_if_small(snapshots.select(*scope, "revision").distinct())
+    side = snapshots.select(*scope, "revision").distinct()
     return versions.join(side, list(scope)).filter(holds_at(F.col("revision")))
 
 
@@ -127,7 +127,7 @@ def union_layouts(full_copy: DataFrame, versions: DataFrame, snapshots: DataFram
     ``snapshots`` lists the interval-backed scans; full copies of those are ignored.
     """
     stored = snapshots.select(*scope, "revision").distinct()
-    legacy = full_copy.join(broadcast_if_small(stored), [*scope, "revision"], "left_anti")
+    legacy = full_copy.join(stored, [*scope, "revision"], "left_anti")
     pinned = as_of(versions, stored, scope).drop("valid_from", "valid_to")
     return legacy.unionByName(pinned, allowMissingColumns=True)
 
@@ -199,7 +199,7 @@ def retained_versions(versions: DataFrame, snapshots: DataFrame, scope: Sequence
     range semi-join shrinks to an equi-join with one row per scope.
     """
     oldest = snapshots.groupBy(*scope).agg(F.min("revision").alias("__oldest"))
-    kept = versions.join(broadcast_if_small(oldest), list(scope), "left").filter(
+    kept = versions.join(oldest, list(scope), "left").filter(
         F.col("valid_to").isNull() | (F.col("valid_to") > F.coalesce(F.col("__oldest"), F.lit(0))))
     return kept.drop("__oldest")
 

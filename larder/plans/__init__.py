@@ -1,0 +1,10 @@
+"""Named queries over the driver's tables."""
+
+import importlib
+
+from .registry import ORACLES, QUERIES
+
+for _module in ("scalars", "catalogue"):
+    importlib.import_module(f"{__name__}.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]

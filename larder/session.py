@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Largest side that is broadcast by hint.  Its size is counted first.
-BROADCAST_ROWS = 100_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str = "8", app: str = "larder") -> SparkSession:
     """Session for tests and the bench on one machine."""
@@ -45,8 +41,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting at most ``limit + 1`` rows; larger sides keep the shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

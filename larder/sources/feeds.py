@@ -129,10 +129,10 @@ def category_closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     A bounded frontier loop; the frontier stops when it is empty.  A node that meets itself on
     its path is reported as ``cyclic`` and not followed further.
     """
-    from ..session import broadcast_if_small, cut_lineage
+    from ..session import cut_lineage
 
     edges = edges.select("parent", "child").distinct()
-    side = broadcast_if_small(edges)
+    side = edges
     frontier = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"),
                             F.array("parent", "child").alias("path"), (F.col("parent") == F.col("child")).alias("cyclic"))
     found = frontier
@@ -170,7 +170,7 @@ def store_directory(lists: list[DataFrame]) -> DataFrame:
 
 
 def scope_key(retailer: Column, store_id: Column, channel: Column, slot: Column) -> Column:
-    return F.to_json(F.array(retailer, store_id, channel, slot))
+    return F.to_json(F.array(retailer, store_id, channel, slot), {"ignoreNullFields": "false"})
 
 
 def scope_valid(store_id: Column, channel: Column, slot: Column) -> Column:
