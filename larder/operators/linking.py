@@ -81,10 +81,12 @@ def rule_pools(products: DataFrame, rules: Sequence[FoodRule], keep: Sequence[st
     precompiled pattern and the products are read once: no theta join and no shuffle.
     Products carry folded ``title`` and ``categories``.
     """
+    def in_category(prefixes: str) -> Column:
+        return F.exists("categories", lambda c: c.rlike(prefixes))
+
     hits = []
     for rule in rules:
-        test = F.col("title").rlike(rule.title) & F.exists(
-            "categories", lambda c, r=rule: c.rlike("^(?:" + "|".join(r.categories) + ")"))
+        test = F.col("title").rlike(rule.title) & in_category("^(?:" + "|".join(rule.categories) + ")")
         if rule.exclude:
             test = test & ~F.col("title").rlike(rule.exclude)
         hits.append(F.when(test, F.lit(rule.id)))
@@ -232,7 +234,7 @@ def dietary_audit(links: DataFrame) -> DataFrame:
     """Names that remove a recipe: blocked by policy, or meat without a permitted product."""
     meat = classify(fold_text(F.col("name")))
     return links.withColumn("__p", meat).filter(
-        (F.col("status") == "excluded") | (F.col("__p.meat").isNotNull() & (F.col("status") != "matched"))
+        F.col("__p.reason").isNotNull() | (F.col("__p.meat").isNotNull() & (F.col("status") != "matched"))
     ).select("name", F.coalesce(F.col("__p.reason"), F.lit("no_permitted_meat_match")).alias("reason"))
 
 

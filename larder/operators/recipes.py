@@ -80,8 +80,7 @@ def filter_sets(classifications: DataFrame, width: int = CHUNK_WIDTH) -> DataFra
     axes = classifications.select("filter_id").distinct().withColumn("state", F.explode(F.array(*[F.lit(s) for s in STATES])))
     empty = axes.join(sizes, ["filter_id", "state"], "left_anti").select(
         "filter_id", "state", F.lit(0).cast("bigint").alias("chunk"), F.array().cast("array<bigint>").alias("recipe_ids"))
-    return lists.filter(F.col("state").isin(*STATES)).unionByName(empty.select(
-        "filter_id", "state", "chunk", F.col("recipe_ids").cast(lists.schema["recipe_ids"].dataType).alias("recipe_ids")))
+    return lists.filter(F.col("state").isin(*STATES)).unionByName(empty)
 
 
 def set_members(sets: DataFrame, filter_id: Column, state: str) -> DataFrame:
@@ -201,15 +200,20 @@ GRAM = 3
 
 
 def grams(text: Column, n: int) -> Column:
-    """Distinct substrings of length ``n``."""
-    return F.when(F.length(text) >= n, F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n))))
+    """Distinct substrings of length ``n``; overlapping matches keep this linear in the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def gram_index(titles: DataFrame, key: str, title: str, n: int = GRAM) -> DataFrame:
-    """Posting table (gram, id, title)."""
+def gram_index(titles: DataFrame, key: str, title: str, n: int = GRAM, only: Sequence[str] | None = None) -> DataFrame:
+    """Posting table (gram, id, title).
+
+    ``only`` keeps the postings of some grams, for a search that does not store the table.
+    """
     lowered = titles.select(F.col(key).alias("id"), F.lower(F.col(title)).alias("title"))
-    return lowered.select("id", "title", F.explode(grams(F.col("title"), n)).alias("gram"))
+    found = grams(F.col("title"), n)
+    if only is not None:
+        found = F.array_intersect(found, F.array(*[F.lit(g) for g in only]))
+    return lowered.select("id", "title", F.explode(found).alias("gram"))
 
 
 def title_search(titles: DataFrame, key: str, title: str, queries: Mapping[int, str]) -> DataFrame:
@@ -224,12 +228,13 @@ def title_search(titles: DataFrame, key: str, title: str, queries: Mapping[int,
     asked = {i: q.strip().lower() for i, q in queries.items() if q.strip()}
     found = []
     for n in sorted({min(len(q), GRAM) for q in asked.values()}):
-        sized = spark.createDataFrame([(i, q) for i, q in asked.items() if min(len(q), GRAM) == n], "query_id int, q string")
-        probes = sized.select("query_id", "q", F.explode(grams(F.col("q"), n)).alias("gram"))
-        postings = gram_index(titles, key, title, n).join(probes.select("gram").distinct(), "gram", "left_semi")
+        parts = [(i, q, q[k : k + n]) for i, q in asked.items() if min(len(q), GRAM) == n for k in range(len(q) - n + 1)]
+        probes = spark.createDataFrame(parts, "query_id int, q string, gram string").distinct()
+        postings = gram_index(titles, key, title, n, sorted({g for _, _, g in parts}))
         if n == GRAM:
             counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
-            probes = probes.join(counts, "gram").groupBy("query_id", "q").agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
+            probes = probes.join(counts, "gram", "left").groupBy("query_id", "q").agg(
+                F.min_by("gram", F.struct(F.coalesce("__n", F.lit(0)), "gram")).alias("gram"))
         found.append(postings.join(probes, "gram").filter(F.contains("title", "q")).select("query_id", "id"))
     out = found[0]
     for more in found[1:]:
