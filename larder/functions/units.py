@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .packs import lookup, quantity_text
+from .text import let
 
 #: US customary and metric factors (fixed values).
 GRAMS = {
@@ -50,22 +51,26 @@ def canonical_amount(
     ``quantity`` is text; ``override`` is NULL or struct(quantity, unit), wins over
     the source and hides a quantity conflict, and is scaled like the source.
     """
-    amount, used, clash = quantity_text(quantity), unit, F.coalesce(conflict, F.lit(False))
-    if override is not None:
-        amount = F.coalesce(override["quantity"], amount)
-        used = F.coalesce(override["unit"], unit)
-        clash = override.isNull() & clash
-    reason = (
-        F.when(amount.isNull(), "quantity_unknown_or_qualitative")
-        .when(clash, "conflicting_source_quantity")
-        .when(unit_kind(used).isNull(), "unit_conversion_unknown")
-    )
-    known = reason.isNull()
-    return F.struct(
-        F.when(known, amount * scale * unit_factor(used)).alias("quantity"),
-        F.when(known, unit_kind(used)).alias("unit"),
-        reason.alias("reason"),
-    )
+    none = F.lit(None).cast("struct<quantity:double,unit:string>")
+    replaced = override if override is not None else none
+    staged = F.struct(
+        F.coalesce(replaced["quantity"], quantity_text(quantity)).alias("q"),
+        F.lower(F.trim(F.coalesce(replaced["unit"], unit))).alias("unit"),
+        (replaced.isNull() & F.coalesce(conflict, F.lit(False))).alias("clash"), scale.alias("scale"))
+
+    def convert(a: Column) -> Column:
+        kind = unit_kind(a["unit"])
+        reason = (
+            F.when(a["q"].isNull(), "quantity_unknown_or_qualitative")
+            .when(a["clash"], "conflicting_source_quantity")
+            .when(kind.isNull(), "unit_conversion_unknown")
+        )
+        return let(reason, lambda why: F.struct(
+            F.when(why.isNull(), a["q"] * a["scale"] * unit_factor(a["unit"])).alias("quantity"),
+            F.when(why.isNull(), kind).alias("unit"),
+            why.alias("reason")))
+
+    return let(staged, convert)
 
 
 def measure_unit(unit: Column) -> Column:

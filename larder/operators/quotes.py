@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
 from ..functions.money import COST_TYPE, ore, price_unit_key, round_cost
+from ..functions.packs import quantity_text
 from ..functions.pricing import line_cost
 from ..functions.text import name_key
 from ..functions.units import canonical_amount, measure_unit, serving_scale
@@ -56,7 +57,7 @@ def cost_lines(lines: DataFrame, links: DataFrame, products: DataFrame, now: Col
     amount = canonical_amount(F.col("measured_quantity"), F.col("unit"), F.col("quantity_conflict"), F.col("__scale.scale"), override)
     grams = F.col("grams_per_unit") if "grams_per_unit" in lines.columns else F.lit(None).cast("double")
     staged = priced.withColumn("__scale", scale).withColumn("__amount", amount)
-    quantity = canonical_amount(F.col("measured_quantity"), F.lit("piece"), F.col("quantity_conflict"), F.col("__scale.scale"))["quantity"]
+    quantity = F.when(~F.coalesce("quantity_conflict", F.lit(False)), quantity_text(F.col("measured_quantity"))) * F.col("__scale.scale")
     cost = line_cost(
         F.coalesce("link_status", F.lit("unknown")), F.coalesce("__has", F.lit(False)), F.col("available"), F.col("observed_at"),
         F.col("expires_at"), F.col("price_ore"), F.col("price_unit"), F.col("deposit_ore"), F.col("pack"), F.col("__amount"),
