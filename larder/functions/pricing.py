@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import calendar as cal
-from .text import let
 from .money import MAPPED_PACKAGE_PRICE_UNITS, PACKAGE_PRICE_UNITS, exact_cost, ore, price_unit_key
 
 GENERAL_CAMPAIGN = "GENERAL"
@@ -153,61 +152,3 @@ def pack_option(quantity: Column, basis: Column, amount_ore: Column, deposit_ore
         F.when(weighed, consumed + deposit).otherwise(exact_cost(packs * (amount_ore + deposit_ore))).alias("purchase"),
         (capacity - quantity).alias("leftover"),
     )
-
-
-def line_cost(link_status: Column, has_product: Column, available: Column, observed: Column, expires: Column, price_ore: Column,
-              price_unit: Column, deposit_ore: Column, pack: Column, amount: Column, reference_grams: Column, overridden: Column,
-              now: Column) -> Column:
-    """struct(status, cost, quantity, unit, reason, approximate) of one recipe line.
-
-    ``amount`` is a ``canonical_amount`` struct; ``reference_grams`` is the sourced
-    mass of the line, used only when the product is sold by mass and the line is not.
-    """
-    facts = F.struct(
-        price_unit_key(price_unit).alias("sold"),
-        (F.coalesce(available & (expires > cal.utc(now)), F.lit(False)) & cal.scan_is_current(observed, now)).alias("fresh"),
-        F.coalesce(pack["unit"] == "g", F.lit(False)).alias("packed_by_mass"),
-        price_ore.alias("price"), deposit_ore.alias("deposit"), pack.alias("pack"), amount.alias("amount"), reference_grams.alias("grams"),
-        overridden.alias("overridden"), link_status.alias("link"), has_product.alias("known"))
-
-    def measured(f: Column) -> Column:
-        by_mass = f["packed_by_mass"] | F.coalesce(f["sold"] == "kr/kg", F.lit(False))
-        sourced = F.coalesce(~f["overridden"] & (f["amount"]["unit"] != "g") & by_mass & f["grams"].isNotNull(), F.lit(False))
-        return F.struct(
-            F.when(sourced, f["grams"]).otherwise(f["amount"]["quantity"]).alias("quantity"),
-            F.when(sourced, "g").otherwise(f["amount"]["unit"]).alias("unit"), sourced.alias("sourced"))
-
-    def priced(f: Column, a: Column) -> Column:
-        pack_ = f["pack"]
-        boxed = F.coalesce(f["sold"].isin(*PACKAGE_PRICE_UNITS) & (pack_["quantity"] > 0) & (pack_["unit"] == a["unit"]) & ~pack_["approximate"], F.lit(False))
-        drained = boxed & pack_["drained_grams"].isNotNull() & (a["unit"] == "g")
-        by_measure = ((f["sold"] == "kr/kg") & (a["unit"] == "g")) | ((f["sold"] == "kr/l") & (a["unit"] == "ml"))
-        return F.struct(
-            F.when(by_measure, f["price"] * a["quantity"] / 1000).when(boxed & ~drained, f["price"] * a["quantity"] / pack_["quantity"]).alias("cost"),
-            drained.alias("drained"))
-
-    def explained(f: Column, a: Column, c: Column) -> Column:
-        no_cost = (
-            F.when(c["drained"], "drained_weight_basis_requires_review")
-            .when((a["unit"] == "ml") & f["packed_by_mass"], "density_required")
-            .when((a["unit"] == "piece") & f["packed_by_mass"], "piece_weight_required")
-            .otherwise("package_or_unit_conversion_unknown"))
-        return F.coalesce(
-            F.when((f["link"] != "matched") | ~f["known"], F.lit("ingredient_connection_unavailable")),
-            F.when(~f["fresh"], F.lit("product_unavailable_or_stale")),
-            F.when(f["price"].isNull() | (f["price"] < 0) | f["deposit"].isNull(), F.lit("price_unknown")),
-            f["amount"]["reason"],
-            F.when(c["cost"].isNull(), no_cost))
-
-    def outcome(f: Column, a: Column, c: Column, why: Column) -> Column:
-        skipped = f["link"] == "non_purchased"
-        bought = ~skipped & why.isNull()
-        return F.struct(
-            F.when(skipped, "not_purchased").when(bought, "priced").otherwise("unresolved").alias("status"),
-            F.when(skipped, exact_cost(F.lit(0))).when(bought, exact_cost(c["cost"])).alias("cost"),
-            F.when(~skipped, a["quantity"]).alias("quantity"),
-            F.when(~skipped, a["unit"]).alias("unit"),
-            F.when(~skipped, why).alias("reason"),
-            (bought & a["sourced"]).alias("approximate"))
-
-    return let(facts, lambda f: let(measured(f), lambda a: let(priced(f, a), lambda c: let(explained(f, a, c), lambda why: outcome(f, a, c, why)))))

@@ -62,27 +62,48 @@ def fold_text(text: Column) -> Column:
     return squash(strip_marks(text))
 
 
+@lru_cache(maxsize=1)
+def _expanding_class() -> str:
+    """Regex class of the code points that ``strip_marks`` leaves but that fold to ASCII.
+
+    These are the ligatures, fractions and letter-like symbols that decompose to several
+    characters, and everything foldable beyond the basic plane.
+    """
+    handled = set(accent_table()[0])
+    points = [c for c in (*range(0x80, 0xD800), *range(0xE000, 0x20000))
+              if chr(c) not in handled and any(ord(x) < 128 for x in _decomposed(chr(c)))]
+    ranges, start = [], points[0]
+    for here, following in zip(points, [*points[1:], None]):
+        if following != here + 1:
+            ranges.append(f"\\x{{{start:X}}}-\\x{{{here:X}}}")
+            start = following
+    return "[" + "".join(ranges) + "]"
+
+
 @F.pandas_udf(StringType())
 def _nfkd(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else "".join(_decomposed(c) for c in s))
 
 
+#: Nothing in these ranges folds to more than one character; most text stays inside them.
+_PLAIN_RANGES = r"[^\x00-\xBB\xBF-\u0131]"
+
+
 def needs_full_fold(text: Column) -> Column:
-    """True where a non-ASCII character survives ``strip_marks``."""
-    return strip_marks(text).rlike(r"[^\x00-\x7F]")
+    """A character expands when folded.  The wide class is tried only on text that leaves the plain ranges."""
+    return F.coalesce(text.rlike(_PLAIN_RANGES) & text.rlike(_expanding_class()), F.lit(False))
 
 
 def fold_distinct(df: DataFrame, column: str, out: str) -> DataFrame:
     """Add ``out`` = the fully folded ``column``.
 
-    Each distinct string is folded once.  Only strings that keep a non-ASCII
-    character after ``strip_marks`` reach Python.
+    Ordinary rows are folded in place.  Only strings with a character that expands go
+    through Arrow, each distinct one once.
     """
-    names = df.select(column).distinct()
-    plain = names.filter(F.col(column).isNull() | ~needs_full_fold(F.col(column))).withColumn(out, fold_text(F.col(column)))
-    rest = names.filter(needs_full_fold(F.col(column))).withColumn(out, squash(_nfkd(F.col(column))))
-    folded = plain.unionByName(rest).withColumnRenamed(column, "__name")
-    return df.join(folded, F.col(column).eqNullSafe(F.col("__name")), "left").drop("__name")
+    plain = df.filter(~needs_full_fold(F.col(column))).withColumn(out, fold_text(F.col(column)))
+    rest = df.filter(needs_full_fold(F.col(column)))
+    folded = rest.select(column).distinct().withColumn(out, squash(_nfkd(F.col(column))))
+    return plain.unionByName(rest.join(folded, column))
 
 
 def name_key(text: Column) -> Column:

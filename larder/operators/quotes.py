@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
-from ..functions.money import COST_TYPE, ore, price_unit_key, round_cost
+from ..functions.money import COST_TYPE, PACKAGE_PRICE_UNITS, exact_cost, ore, price_unit_key, round_cost
 from ..functions.packs import quantity_text
-from ..functions.pricing import line_cost
 from ..functions.text import name_key
-from ..functions.units import canonical_amount, measure_unit, serving_scale
+from ..functions.units import measure_unit, unit_factor, unit_kind
 
 
 def with_overrides(lines: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ("menu_id", "recipe_id", "ingredient_index")) -> DataFrame:
@@ -48,27 +47,67 @@ def cost_lines(lines: DataFrame, links: DataFrame, products: DataFrame, now: Col
     lines (name, unit, measured_quantity, quantity_conflict, servings, requested_servings[, override,
     grams_per_unit]); links (name, status, code); products (code, price_ore, price_unit,
     deposit_ore, available, observed_at, expires_at, pack).  The lines are joined to links and
-    products by equality only; both joins keep every line.
+    products by equality only; both joins keep every line.  Intermediate values are plain
+    columns, so each is computed once and the whole chain stays in generated code.
     """
     linked = lines.join(links.select("name", F.col("status").alias("link_status"), "code"), "name", "left")
-    priced = linked.join(products.withColumn("__has", F.lit(True)), "code", "left")
-    scale = serving_scale(F.col("requested_servings"), F.col("servings"))
-    override = F.col("override") if overrides else None
-    amount = canonical_amount(F.col("measured_quantity"), F.col("unit"), F.col("quantity_conflict"), F.col("__scale.scale"), override)
+    rows = linked.join(products.withColumn("__has", F.lit(True)), "code", "left")
+    replaced = F.col("override") if overrides else F.lit(None).cast("struct<quantity:double,unit:string>")
     grams = F.col("grams_per_unit") if "grams_per_unit" in lines.columns else F.lit(None).cast("double")
-    staged = priced.withColumn("__scale", scale).withColumn("__amount", amount)
-    quantity = F.when(~F.coalesce("quantity_conflict", F.lit(False)), quantity_text(F.col("measured_quantity"))) * F.col("__scale.scale")
-    cost = line_cost(
-        F.coalesce("link_status", F.lit("unknown")), F.coalesce("__has", F.lit(False)), F.col("available"), F.col("observed_at"),
-        F.col("expires_at"), F.col("price_ore"), F.col("price_unit"), F.col("deposit_ore"), F.col("pack"), F.col("__amount"),
-        quantity * grams, F.col("override").isNotNull() if overrides else F.lit(False), now)
-    failed = F.col("__scale.reason")
-    out = staged.withColumn("__line", cost)
-    return out.select(
-        *lines.columns, "code", F.when(failed.isNotNull(), "unresolved").otherwise(F.col("__line.status")).alias("status"),
-        F.when(failed.isNull(), F.col("__line.cost")).alias("cost"), F.col("__line.quantity").alias("amount"),
-        F.col("__line.unit").alias("amount_unit"), F.coalesce(failed, F.col("__line.reason")).alias("reason"),
-        F.col("__line.approximate").alias("amount_approximate"))
+    pack = {f: F.col(f"pack.{f}") for f in ("quantity", "unit", "drained_grams", "approximate")}
+    yes = lambda test: F.coalesce(test, F.lit(False))
+    c = F.col
+
+    rows = rows.withColumns({
+        "__text": quantity_text(c("measured_quantity")), "__sold": price_unit_key(c("price_unit")),
+        "__unit": F.lower(F.trim(F.coalesce(replaced["unit"], c("unit")))), "__over": replaced.isNotNull(),
+        "__scale": F.when(c("requested_servings").isNull(), F.lit(1.0)).when(c("servings") > 0, c("requested_servings") / c("servings")),
+        "__fresh": yes(c("available") & (c("expires_at") > cal.utc(now))) & cal.scan_is_current(c("observed_at"), now),
+        "__by_mass": yes(pack["unit"] == "g"), "__clash": yes(c("quantity_conflict"))})
+    rows = rows.withColumns({"__kind": unit_kind(c("__unit")), "__factor": unit_factor(c("__unit")), "__q": F.coalesce(replaced["quantity"], c("__text"))})
+    rows = rows.withColumns({
+        "__why": F.when(c("__q").isNull(), "quantity_unknown_or_qualitative").when(~c("__over") & c("__clash"), "conflicting_source_quantity").when(
+            c("__kind").isNull(), "unit_conversion_unknown"),
+        "__grams": F.when(~c("__over") & ~c("__clash"), c("__text") * c("__scale") * grams)})
+    rows = rows.withColumn("__sourced", yes(
+        c("__why").isNull() & (c("__kind") != "g") & (c("__by_mass") | (c("__sold") == "kr/kg")) & c("__grams").isNotNull()))
+    rows = rows.withColumns({
+        "amount": F.when(c("__sourced"), c("__grams")).when(c("__why").isNull(), c("__q") * c("__scale") * c("__factor")),
+        "amount_unit": F.when(c("__sourced"), "g").when(c("__why").isNull(), c("__kind"))})
+    rows = rows.withColumn("__boxed", yes(
+        c("__sold").isin(*PACKAGE_PRICE_UNITS) & (pack["quantity"] > 0) & (pack["unit"] == c("amount_unit")) & ~pack["approximate"]))
+    drained = c("__boxed") & pack["drained_grams"].isNotNull() & (c("amount_unit") == "g")
+    measured = ((c("__sold") == "kr/kg") & (c("amount_unit") == "g")) | ((c("__sold") == "kr/l") & (c("amount_unit") == "ml"))
+    rows = rows.withColumn("__cost", F.when(measured, c("price_ore") * c("amount") / 1000).when(
+        c("__boxed") & ~drained, c("price_ore") * c("amount") / pack["quantity"]))
+    skipped = yes(c("link_status") == "non_purchased")
+    rows = rows.withColumn("reason", F.when(c("__scale").isNull(), "source_servings_unknown").when(~skipped, F.coalesce(
+        F.when(~yes((c("link_status") == "matched") & c("__has")), F.lit("ingredient_connection_unavailable")),
+        F.when(~c("__fresh"), F.lit("product_unavailable_or_stale")),
+        F.when(c("price_ore").isNull() | (c("price_ore") < 0) | c("deposit_ore").isNull(), F.lit("price_unknown")),
+        c("__why"),
+        F.when(c("__cost").isNull(), F.when(yes(drained), "drained_weight_basis_requires_review")
+               .when((c("amount_unit") == "ml") & c("__by_mass"), "density_required")
+               .when((c("amount_unit") == "piece") & c("__by_mass"), "piece_weight_required")
+               .otherwise("package_or_unit_conversion_unknown")))))
+    status = F.when(c("reason").isNotNull(), "unresolved").when(skipped, "not_purchased").otherwise("priced")
+    return rows.select(
+        *lines.columns, "code", status.alias("status"),
+        F.when(c("reason").isNull(), exact_cost(F.when(skipped, F.lit(0.0)).otherwise(c("__cost")))).alias("cost"),
+        F.when(~skipped, c("amount")).alias("amount"), F.when(~skipped, c("amount_unit")).alias("amount_unit"), "reason",
+        (c("reason").isNull() & ~skipped & c("__sourced")).alias("amount_approximate"))
+
+
+def line_groups(lines: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
+    """Costed lines summed per (menu, product, unit): the one pass both the shopping list and the totals read.
+
+    Combines map-side; the two readers share its shuffle.
+    """
+    priced = F.col("status") == "priced"
+    return lines.groupBy(*keys, "code", "amount_unit").agg(
+        F.sum(F.when(priced, F.col("amount"))).alias("amount"), F.sum(F.when(priced, F.col("cost"))).alias("cost"),
+        F.max(priced & F.col("amount_approximate")).alias("amount_approximate"),
+        F.count_if(priced).alias("priced"), F.count_if(F.col("status") == "unresolved").alias("unresolved"))
 
 
 def recipe_costs(lines: DataFrame, keys: tuple[str, ...] = ("menu_id", "recipe_id")) -> DataFrame:
@@ -80,21 +119,18 @@ def recipe_costs(lines: DataFrame, keys: tuple[str, ...] = ("menu_id", "recipe_i
     return grouped.select(*keys, "lines", "unresolved", F.when(F.col("unresolved") == 0, known).alias("consumed_ore"), known.alias("known_consumed_ore"))
 
 
-def shopping_list(lines: DataFrame, products: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
-    """Sum per (menu, product, unit) first, then whole packs once.
+def shopping_list(groups: DataFrame, products: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
+    """Whole packs per (menu, product, unit), rounded once per group.
 
-    ``lines`` are costed lines; ``amount`` and ``cost`` are summed before rounding.  The
-    aggregate combines map-side and the product attributes join afterwards, so wide
-    product rows are not shuffled per line.
+    ``groups`` come from ``line_groups``; product attributes join after the sums, so wide product
+    rows are not shuffled per line.
     """
-    needs = lines.filter(F.col("status") == "priced").groupBy(*keys, "code", "amount_unit").agg(
-        F.sum("amount").alias("amount"), F.sum("cost").alias("__cost"), F.max("amount_approximate").alias("amount_approximate"))
-    rows = needs.join(products, "code")
+    rows = groups.filter("priced > 0").join(products, "code")
     unit = price_unit_key(F.col("price_unit"))
     weighed = unit.isin("kr/kg", "kr/l")
     boxed = ~weighed & (F.col("pack.unit") == F.col("amount_unit")) & (F.col("pack.quantity") > 0) & ~F.col("pack.approximate")
     packs = F.when(F.coalesce(boxed, F.lit(False)), F.ceil(F.col("amount") / F.col("pack.quantity")).cast("bigint"))
-    rows = rows.withColumn("packs", packs).withColumn("consumed_ore", round_cost(F.col("__cost")))
+    rows = rows.withColumn("packs", packs).withColumn("consumed_ore", round_cost(F.col("cost")))
     return rows.select(
         *keys, "code", "amount_unit", "amount", "packs", "consumed_ore",
         F.when(F.col("packs").isNotNull(), F.col("packs") * F.col("price_ore")).when(weighed, F.col("consumed_ore")).alias("purchase_ore"),
@@ -102,10 +138,10 @@ def shopping_list(lines: DataFrame, products: DataFrame, keys: tuple[str, ...] =
         "amount_approximate", "expires_at")
 
 
-def quote_totals(lines: DataFrame, shopping: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
+def quote_totals(groups: DataFrame, shopping: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
     """Menu totals with completeness: NULL when anything is unresolved, known parts separately."""
-    consumed = lines.groupBy(*keys).agg(
-        F.sum(F.coalesce("cost", F.lit(0).cast(COST_TYPE))).alias("__cost"), F.count_if(F.col("status") == "unresolved").alias("unresolved"))
+    consumed = groups.groupBy(*keys).agg(
+        F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,9)").alias("__cost"), F.sum("unresolved").alias("unresolved"))
     bought = shopping.groupBy(*keys).agg(
         F.sum(F.coalesce("purchase_ore", F.lit(0)) + F.coalesce("deposit_ore", F.lit(0))).alias("known_purchase_ore"),
         F.count_if(F.col("purchase_ore").isNull() | F.col("deposit_ore").isNull()).alias("__open"),

@@ -210,9 +210,10 @@ def gram_index(titles: DataFrame, key: str, title: str, n: int = GRAM, only: Seq
     ``only`` keeps the postings of some grams, for a search that does not store the table.
     """
     lowered = titles.select(F.col(key).alias("id"), F.lower(F.col(title)).alias("title"))
-    found = grams(F.col("title"), n)
-    if only is not None:
-        found = F.array_intersect(found, F.array(*[F.lit(g) for g in only]))
+    if only is None:
+        found = grams(F.col("title"), n)
+    else:
+        found = F.filter(F.array(*[F.lit(g) for g in only]), lambda g: F.contains(F.col("title"), g))
     return lowered.select("id", "title", F.explode(found).alias("gram"))
 
 

@@ -8,7 +8,7 @@ from ..functions import calendar as cal
 from ..functions.money import exact_cost, round_cost
 from ..operators import quotes as q
 from . import mapping as m
-from .registry import Tables, query
+from .registry import Tables, query, spread
 from .scalars import priced_parts
 
 NOW = "2024-01-10 12:00:00"
@@ -39,9 +39,8 @@ def menu_lines(t: Tables):
 
 def shopping_list_quote(t: Tables):
     """Menus to shopping lists to totals: the flagship."""
-    lines = menu_lines(t)
-    shopping = q.shopping_list(lines, piece_products(t))
-    return q.quote_totals(lines, shopping).select("menu_id", "unresolved", "complete", "consumed_ore", "purchase_ore", m.stamp(F.col("earliest_expiry")).alias("earliest_expiry"))
+    groups = q.line_groups(menu_lines(t))
+    return q.quote_totals(groups, q.shopping_list(groups, piece_products(t))).select("menu_id", "unresolved", "complete", "consumed_ore", "purchase_ore", m.stamp(F.col("earliest_expiry")).alias("earliest_expiry"))
 
 
 query("shopping_list_quote", m.sql(m.PRODUCTS, body=f"""
@@ -58,7 +57,7 @@ SELECT menu_id, CAST(0 AS BIGINT) AS unresolved, TRUE AS complete, CAST(floor(su
 SELECT menu_id, code, CAST(qty AS DOUBLE) AS amount, CAST(ceil(qty / CAST(size AS DOUBLE)) AS BIGINT) AS packs, CAST(floor(cost + 0.5) AS BIGINT) AS consumed_ore,
   CAST(ceil(qty / CAST(size AS DOUBLE)) AS BIGINT) * price_ore AS purchase_ore, CAST(ceil(qty / CAST(size AS DOUBLE)) AS BIGINT) * size * 10 AS deposit_ore FROM lines JOIN products USING (code)"""))
 def shopping_list_lines(t: Tables):
-    return q.shopping_list(menu_lines(t), piece_products(t)).select("menu_id", "code", "amount", "packs", "consumed_ore", "purchase_ore", "deposit_ore")
+    return q.shopping_list(q.line_groups(menu_lines(t)), piece_products(t)).select("menu_id", "code", "amount", "packs", "consumed_ore", "purchase_ore", "deposit_ore")
 
 
 _COSTED = """priced AS (
@@ -88,7 +87,7 @@ costed AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'unresolved' WHEN link =
 
 def costed_lines(t: Tables):
     unit = F.element_at(F.array(F.lit("g"), F.lit("cup"), F.lit("count"), F.lit("pinch")), F.col("l_linenumber") % 4 + 1)
-    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines = spread(t.lineitem).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("menu_id"), F.col("l_orderkey").alias("recipe_id"), F.col("l_linenumber").alias("ingredient_index"),
         F.concat(F.lit("part "), "l_partkey").alias("name"), unit.alias("unit"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "to taste").otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("measured_quantity"),
@@ -137,8 +136,8 @@ SELECT menu_id, count(*) FILTER (status = 'unresolved') AS unresolved, count(*)
   CAST(floor(sum(coalesce(cost, 0)) + 0.5) AS BIGINT) AS known_consumed_ore FROM costed LEFT JOIN st USING (menu_id) GROUP BY menu_id"""))
 def menu_quote(t: Tables):
     lines, products = costed_lines(t)
-    shopping = q.shopping_list(lines, products)
-    return q.quote_totals(lines, shopping).select("menu_id", "unresolved", "complete", "purchase_complete", "consumed_ore", "known_consumed_ore")
+    groups = q.line_groups(lines)
+    return q.quote_totals(groups, q.shopping_list(groups, products)).select("menu_id", "unresolved", "complete", "purchase_complete", "consumed_ore", "known_consumed_ore")
 
 
 @query("override_violations", """

@@ -8,7 +8,7 @@ from ..functions.text import contains_folded
 from ..operators import batching, corpus, quality, recipes as r, versions as v
 from ..sources import feeds, tables
 from . import mapping as m
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 WANTED = (r.Wanted("diet", "status"), r.Wanted("allergen", "nuts"), r.Wanted("cuisine", "low"), r.Wanted("cuisine", "urgent"))
 
@@ -172,7 +172,7 @@ SELECT query_id, 'part' AS kind, p_partkey AS id FROM part, q WHERE contains(low
 UNION ALL SELECT query_id, 'document', doc_id FROM documents, q WHERE contains(lower(text), q)"""))
 def trigram_search(t: Tables):
     titles = t.part.select(F.struct(F.lit("part").alias("kind"), F.col("p_partkey").alias("id")).alias("key"), F.col("p_name").alias("title")).unionByName(
-        t.documents.select(F.struct(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).alias("key"), F.col("text").alias("title")))
+        spread(t.documents).select(F.struct(F.lit("document").alias("kind"), F.col("doc_id").alias("id")).alias("key"), F.col("text").alias("title")))
     return r.title_search(titles, "key", "title", SEARCHES).select("query_id", "id.kind", "id.id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes, calendar as cal, hashing, money, packs, policy, pricing, text, units
 from ..sources import feeds
 from . import mapping as m
-from .registry import Tables, query
+from .registry import Tables, query, spread
 
 
 @query("money_text_to_ore", """
@@ -115,7 +115,7 @@ SELECT doc_id, {_FOLD.format('text')} AS folded, md5({_FOLD.format('text')}) AS
   regexp_replace(trim(regexp_replace(replace(lower(text), '&', 'and'), '\\s+', ' ', 'g')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g') AS name_key
 FROM documents""")
 def fold_text(t: Tables):
-    folded = text.fold_distinct(t.documents.select("doc_id", "text"), "text", "folded")
+    folded = text.fold_distinct(spread(t.documents.select("doc_id", "text")), "text", "folded")
     return folded.select("doc_id", "folded", F.md5("folded").alias("folded_md5"), text.name_key(F.col("text")).alias("name_key"))
 
 

@@ -15,6 +15,8 @@ def local_session(cores: str = "8", app: str = "larder") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Java does not JIT-compile methods above 8000 bytes: let such stages use split projections.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
