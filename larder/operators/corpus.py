@@ -7,19 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import name_key
+from .batching import with_position
 from .versions import table_differences
 
 #: Children of one document are nested in parts of this many rows.
 PART_WIDTH = 1000
 
 
-def nest_children(children: DataFrame, parent: str, order: Sequence[str], fields: Sequence[str], index: str, width: int = PART_WIDTH) -> DataFrame:
+def nest_children(children: DataFrame, parent: str, order: Sequence[str], fields: Sequence[str], index: Column | None = None,
+                  bucket: Column | None = None, width: int = PART_WIDTH) -> DataFrame:
     """(parent, part, items): children of each parent in order, at most ``width`` per row.
 
-    Ordinary documents have one part.  A parent with a huge number of children gets many
-    parts in many tasks and is never gathered into one row.
+    ``index`` is the child's position where the source has one; otherwise positions are counted over
+    ``bucket``, which must not decrease along ``order``.  Ordinary documents have one part.  A
+    parent with a huge number of children gets many parts in many tasks and is never gathered.
     """
-    part = F.floor(F.col(index) / width).cast("int")
+    if index is None:
+        children = with_position(children, [F.col(c).asc() for c in order], bucket, [parent], out="__position")
+        index = F.col("__position") - 1
+    part = F.floor(index / width).cast("int")
     item = F.struct(*order, *[f for f in fields if f not in order])
     return children.groupBy(F.col(parent), part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 

@@ -71,6 +71,7 @@ def link_aliases(names: DataFrame, aliases: DataFrame, longest: int = 6) -> Data
         "name", "original", "clean", "rule_id", "basis", "alias", "exact",
         F.coalesce(left, F.lit("")).alias("leftover"),
         F.when(F.col("rule_id").isNotNull(), doubtful | swapped | canned).alias("uncertain"),
+        constraint_signature(F.col("original")).alias("signature"),
     )
 
 
@@ -94,31 +95,53 @@ def rule_pools(products: DataFrame, rules: Sequence[FoodRule], keep: Sequence[st
     return products.select(*keep, F.explode(matched).alias("rule_id"))
 
 
-def name_constraints(original: Column, rule_id: Column, title: Column, raw_title: Column, categories: Column, brand: Column) -> Column:
-    """Whether a pooled product satisfies the words of one particular name."""
+#: Words of a name that constrain its products (fixed values), and how they are recognised.
+CONSTRAINT_WORDS = (
+    ("frozen", r"\bfrozen\b"), ("fresh", r"\bfresh\b"), ("organic", r"\borganic\b"), ("extra virgin", r"\bextra virgin\b"), ("philadelphia", "philadelphia"),
+    ("gluten free", "gluten free|glutenfree"), ("unsalted", "unsalted"), ("unsweetened", "unsweetened"), ("liquid", r"\bliquid\b"), ("raw", r"\braw\b"),
+    ("boneless", r"\bboneless\b"), ("tabasco", "tabasco"), ("lean", r"\blean\b"), ("sharp", r"\bsharp\b"),
+)
+
+
+def constraint_signature(original: Column) -> Column:
+    """The constraining words of a folded name, in a fixed order, with its percentage.
+
+    Names with the same rule and signature accept exactly the same products, and there are
+    few signatures however many names there are.
+    """
+    words = F.array(*[F.when(original.rlike(pattern), F.lit(word)) for word, pattern in CONSTRAINT_WORDS],
+                    F.nullif(F.regexp_extract(original, r"\d+(?:\.\d+)?%", 0), F.lit("")))
+    return F.array_join(F.filter(words, lambda w: w.isNotNull()), " ")
+
+
+def signature_accepts(signature: Column, rule_id: Column, title: Column, raw_title: Column, categories: Column, brand: Column) -> Column:
+    """Whether a pooled product satisfies the constraining words of a name."""
     from ..functions.attributes import PERCENT_IN_REQUEST, PERCENT_IN_TITLE, percent
 
     frozen_aisle = F.exists(categories, lambda c: c.startswith("fryst"))
     brand = F.coalesce(brand, F.lit(""))
-    fat, wanted = percent(raw_title, PERCENT_IN_TITLE), percent(original, PERCENT_IN_REQUEST)
+    fat, wanted = percent(raw_title, PERCENT_IN_TITLE), percent(signature, PERCENT_IN_REQUEST)
+    patterns = dict(CONSTRAINT_WORDS)
 
-    def needs(request: str, proof: Column) -> Column:
-        return ~original.rlike(request) | proof
+    def needs(word: str, proof: Column, *only: str) -> Column:
+        open_ = ~signature.rlike(patterns[word]) | proof
+        return ~rule_id.isin(*only) | open_ if only else open_
 
     checks = [
-        needs(r"\bfrozen\b", frozen_aisle | title.rlike("fryst")),
-        needs(r"\bfresh\b", ~frozen_aisle),
-        needs(r"\borganic\b", title.rlike(r"\beko\b|ekologisk")),
-        needs(r"\bextra virgin\b", title.rlike("extra virgin|extra vergine|extra jungfru")),
+        needs("frozen", frozen_aisle | title.rlike("fryst")),
+        needs("fresh", ~frozen_aisle),
+        needs("organic", title.rlike(r"\beko\b|ekologisk")),
+        needs("extra virgin", title.rlike("extra virgin|extra vergine|extra jungfru")),
         needs("philadelphia", brand == "philadelphia"),
-        needs("gluten free|glutenfree", title.rlike("glutenfri")),
+        needs("gluten free", title.rlike("glutenfri")),
         needs("unsalted", title.rlike("osalt")),
-        ~rule_id.isin("applesauce", "almond-milk", "soy-milk") | needs("unsweetened", title.rlike("osotad|utan tillsatt socker|sockerfri")),
-        (rule_id != "honey") | (needs(r"\bliquid\b", title.rlike("flytande")) & needs(r"\braw\b", title.rlike("raw|ra honung|oupphettad"))),
-        (rule_id != "pork-chop") | needs(r"\bboneless\b", title.rlike("benfri|utan ben")),
+        needs("unsweetened", title.rlike("osotad|utan tillsatt socker|sockerfri"), "applesauce", "almond-milk", "soy-milk"),
+        needs("liquid", title.rlike("flytande"), "honey"),
+        needs("raw", title.rlike("raw|ra honung|oupphettad"), "honey"),
+        needs("boneless", title.rlike("benfri|utan ben"), "pork-chop"),
         needs("tabasco", title.rlike("tabasco") | (brand == "tabasco")),
-        (rule_id != "beef-mince") | needs(r"\blean\b", F.coalesce(fat <= 10, F.lit(False))),
-        (rule_id != "cheddar") | needs(r"\bsharp\b", title.rlike(r"lagrad|mature|extra|\d+man")),
+        needs("lean", F.coalesce(fat <= 10, F.lit(False)), "beef-mince"),
+        needs("sharp", title.rlike(r"lagrad|mature|extra|\d+man"), "cheddar"),
         wanted.isNull() | F.coalesce(fat == wanted, F.lit(False)),
     ]
     test = checks[0]
@@ -127,61 +150,89 @@ def name_constraints(original: Column, rule_id: Column, title: Column, raw_title
     return test
 
 
-def rank_candidates(candidates: DataFrame, keep: int = CANDIDATES_KEPT, first: Sequence[Column] = ()) -> DataFrame:
-    """Eligible first, cheapest first (unknown last), then code; the best ``keep`` per name."""
+POOL = ("rule_id", "signature")
+
+
+def pool_candidates(links: DataFrame, pools: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Products accepted for each (rule, signature) that some name has.
+
+    Names are reduced to their signatures first: a rule with a million names and a million
+    products never forms name-product pairs.  pools (rule_id, title, raw_title, categories, brand, *keep).
+    """
+    wanted = links.filter(F.col("rule_id").isNotNull()).select(*POOL).distinct()
+    accepts = signature_accepts(F.col("signature"), F.col("rule_id"), F.col("title"), F.col("raw_title"), F.col("categories"), F.col("brand"))
+    return pools.join(wanted, "rule_id").filter(accepts).select(*POOL, *keep)
+
+
+def rank_candidates(candidates: DataFrame, keep: int = CANDIDATES_KEPT, first: Sequence[Column] = (), keys: Sequence[str] = ("name",)) -> DataFrame:
+    """Eligible first, cheapest first (unknown last), then code; the best ``keep`` per key."""
     order = [F.col("eligible").desc(), *first, F.col("unit_price").asc_nulls_last(), F.col("code").asc()]
-    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*order)))
+    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("rank") <= keep)
 
 
-def select_links(requirements: DataFrame, links: DataFrame, candidates: DataFrame, reviewed_names: DataFrame | None = None) -> DataFrame:
+def name_candidates(links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best candidates of every name, from its pool's best (code, eligible, unit_price, rank)."""
+    return links.select("name", *POOL).join(rank_candidates(candidates, keys=POOL), list(POOL)).drop(*POOL)
+
+
+def _cheapest(test: Column) -> Column:
+    order = F.struct(F.coalesce(F.col("unit_price"), F.lit(float("inf"))), "code")
+    return F.min_by(F.when(test, F.struct("code", "unit_price")), F.when(test, order))
+
+
+def select_links(requirements: DataFrame, links: DataFrame, candidates: DataFrame, approved: DataFrame | None = None,
+                 rejected: DataFrame | None = None) -> DataFrame:
     """Five-status link per requirement.
 
-    requirements (name, occurrences); links from ``link_aliases``; candidates
-    (name, code, eligible, unit_price, approved, rejected).  Everything about the candidates of a
-    name is reduced with mergeable aggregates, so a name with very many products never
-    sits in one task.
+    requirements (name, occurrences); links from ``link_aliases``; candidates (rule_id, signature, code,
+    eligible, unit_price); approved (name, code, eligible, unit_price) are reviewed products; rejected
+    (name, code).  Pools are reduced before they meet the names.  Only names that rejected something
+    look at their pool row by row, because their best product may lie anywhere in it.
     """
-    usable = candidates.filter(~F.col("rejected"))
-    order = F.struct(F.coalesce(F.col("unit_price"), F.lit(float("inf"))), "code")
-    pickable = F.col("eligible") & F.col("selectable")
-    best = usable.join(links.select("name", F.coalesce(~F.col("uncertain"), F.lit(False)).alias("__certain")), "name", "left").withColumn(
-        "selectable", F.col("approved") | F.coalesce(F.col("__certain"), F.lit(False)))
-    summary = best.groupBy("name").agg(
-        F.min_by(F.when(pickable, F.struct("code", "unit_price", "approved")), F.when(pickable, order)).alias("__best"),
-        F.count(F.lit(1)).alias("candidates"),
-    )
+    certain = links.select("name", *POOL, F.coalesce(~F.col("uncertain"), F.lit(False)).alias("__certain"))
+    pooled = candidates.groupBy(*POOL).agg(_cheapest(F.col("eligible")).alias("__pool"), F.count(F.lit(1)).alias("candidates"))
+    picks = certain.join(pooled, list(POOL), "left").select("name", "__certain", "__pool", "candidates")
+    if rejected is not None:
+        touched = rejected.select("name").distinct()
+        rows = certain.join(touched, "name", "left_semi").join(candidates, list(POOL)).join(rejected, ["name", "code"], "left_anti")
+        redone = rows.groupBy("name", "__certain").agg(_cheapest(F.col("eligible")).alias("__pool"), F.count(F.lit(1)).alias("candidates"))
+        bare = certain.join(touched, "name", "left_semi").select("name", "__certain").join(redone.drop("__certain"), "name", "left")
+        picks = picks.join(touched, "name", "left_anti").unionByName(bare.select("name", "__certain", "__pool", "candidates"))
     policy = requirements.select("name").distinct().withColumn("__policy", classify(fold_text(F.col("name"))))
-    joined = requirements.join(policy, "name").join(links, "name", "left").join(summary, "name", "left")
-    if reviewed_names is None:
-        reviewed = F.lit(False)
+    joined = requirements.join(policy, "name").join(links.drop("signature"), "name", "left").join(picks, "name", "left")
+    pool_pick = F.when(F.col("__certain"), F.col("__pool"))
+    if approved is None:
+        best, was_reviewed, reviewed = pool_pick, F.lit(False), F.lit(False)
     else:
-        joined = joined.join(reviewed_names.select("name", F.lit(True).alias("__reviewed")), "name", "left")
-        reviewed = F.coalesce(F.col("__reviewed"), F.lit(False))
+        kept = approved if rejected is None else approved.join(rejected, ["name", "code"], "left_anti")
+        named = kept.groupBy("name").agg(_cheapest(F.col("eligible")).alias("__named"), F.lit(True).alias("__reviewed"))
+        joined = joined.join(named, "name", "left")
+        price = lambda c: F.coalesce(F.col(f"{c}.unit_price"), F.lit(float("inf")))
+        use_named = F.col("__named").isNotNull() & (pool_pick.isNull() | (F.struct(price("__named"), F.col("__named.code")) <= F.struct(price("__pool"), F.col("__pool.code"))))
+        best, was_reviewed, reviewed = F.when(use_named, F.col("__named")).otherwise(pool_pick), use_named, F.coalesce("__reviewed", F.lit(False))
+    rows = joined.withColumn("__best", best).withColumn("__was_reviewed", was_reviewed).withColumn("__reviewed_name", reviewed)
     blocked = F.col("__policy.reason").isNotNull()
-    water = F.col("original").rlike(TAP_WATER) & ~reviewed
+    water = F.coalesce(F.col("original").rlike(TAP_WATER) & ~F.col("__reviewed_name"), F.lit(False))
     matched = F.col("__best").isNotNull()
     doubtful = F.col("rule_id").isNull() | F.coalesce(F.col("uncertain"), F.lit(False))
     status = (
-        F.when(blocked, "excluded").when(F.coalesce(water, F.lit(False)), "non_purchased").when(matched, "matched")
-        .when(doubtful, "needs_review").otherwise("unavailable")
+        F.when(blocked, "excluded").when(water, "non_purchased").when(matched, "matched").when(doubtful, "needs_review").otherwise("unavailable")
     )
     reason = (
         F.when(blocked, F.col("__policy.reason"))
-        .when(F.coalesce(water, F.lit(False)), "tap_water_not_purchased")
-        .when(matched, F.when(F.col("__best.approved"), "reviewed").otherwise("food_rule"))
+        .when(water, "tap_water_not_purchased")
+        .when(matched, F.when(F.col("__was_reviewed"), "reviewed").otherwise("food_rule"))
         .when(F.col("rule_id").isNull(), "no_verified_food_rule")
         .when(doubtful, "food_form_needs_review")
         .when(F.coalesce(F.col("candidates"), F.lit(0)) > 0, "no_compatible_product_with_fresh_price")
         .otherwise("no_compatible_product_in_catalogue")
     )
-    chosen = (status == "matched")
-    return joined.select(
+    chosen = status == "matched"
+    return rows.select(
         "name", "occurrences", "rule_id", status.alias("status"), reason.alias("reason"),
-        F.when(chosen, F.col("__best.code")).alias("selected_code"),
-        F.when(chosen, F.col("__best.unit_price")).alias("unit_price"),
-        F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates"),
-    )
+        F.when(chosen, F.col("__best.code")).alias("selected_code"), F.when(chosen, F.col("__best.unit_price")).alias("unit_price"),
+        F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates"))
 
 
 def summarize_links(links: DataFrame) -> DataFrame:

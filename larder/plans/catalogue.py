@@ -92,7 +92,7 @@ def latest_version_with_tombstones(t: Tables):
 d AS (SELECT *, row_number() OVER (PARTITION BY store, code ORDER BY observed_at DESC) AS recency FROM c WHERE rn = 1 OR previous_ore <> price_ore)
 SELECT store, code, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at, price_ore, previous_ore, CAST(recency AS INTEGER) AS recency FROM d WHERE recency <= 100"""))
 def price_change_history(t: Tables):
-    changes = v.changes_only(m.price_rows(t), KEYS, ["observed_at"], ["price_ore"], F.year("observed_at"))
+    changes = v.changes_only(m.price_rows(t), KEYS, ["observed_at"], ["price_ore"], F.trunc("observed_at", "month"))
     recent = v.most_recent(changes.withColumn("previous_ore", F.col("previous.price_ore")), KEYS, [F.col("observed_at").desc()])
     return recent.select("store", "code", m.stamp(F.col("observed_at")).alias("observed_at"), "price_ore", "previous_ore", "recency")
 
@@ -223,13 +223,13 @@ def landed_page_checks(t: Tables):
 
 
 @query("cross_category_dedupe", """
-WITH r AS (SELECT l_partkey AS code, l_suppkey AS category, (l_orderkey * 100 + l_linenumber) * 1000000 + l_suppkey AS seq, CAST(l_quantity AS BIGINT) AS amount FROM lineitem),
+WITH r AS (SELECT l_partkey AS code, l_suppkey % 25 AS category, (l_orderkey * 100 + l_linenumber) * 1000000 + l_suppkey AS seq, CAST(l_quantity AS BIGINT) AS amount FROM lineitem),
 u AS (SELECT code, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories, arg_max(amount, seq) AS amount FROM r GROUP BY code),
 s AS (SELECT code, min(amount) AS lo, max(amount) AS hi, count(*) AS hits FROM r GROUP BY code)
 SELECT code, categories, amount, hits, CASE WHEN lo <> hi THEN 'product_changed_during_scan' END AS violation FROM u JOIN s USING (code)""")
 def cross_category_dedupe(t: Tables):
     rows = t.lineitem.select(
-        F.col("l_partkey").alias("code"), F.array("l_suppkey").alias("categories"), F.col("l_quantity").cast("bigint").alias("amount"),
+        F.col("l_partkey").alias("code"), F.array(F.col("l_suppkey") % 25).alias("categories"), F.col("l_quantity").cast("bigint").alias("amount"),
         ((F.col("l_orderkey") * 100 + F.col("l_linenumber")) * 1000000 + F.col("l_suppkey")).alias("seq"), "l_shipdate")
     merged = feeds.merge_category_hits(rows.drop("l_shipdate"), "code", "categories", "seq")
     scanned = feeds.merge_scanned(rows.withColumn("checked_at", F.col("l_shipdate")).withColumn("expires_at", cal.week_end(F.col("l_shipdate"))), "code", "amount")

@@ -76,10 +76,8 @@ _CANDIDATES = """cand AS (SELECT l.name, p.code, (p.size % 7 <> 0) AS eligible,
 
 def _candidates(t: Tables):
     pools = link.rule_pools(catalogue(t), RULES, keep=("code", "raw_title", "title", "brand", "categories", "price_ore", "size"))
-    pairs = _links(t).filter(F.col("rule_id").isNotNull()).select("name", "original", "rule_id").join(pools, "rule_id")
-    fit = link.name_constraints(F.col("original"), F.col("rule_id"), F.col("title"), F.col("raw_title"), F.col("categories"), F.col("brand"))
-    return pairs.filter(fit).select("name", "code", (F.col("size") % 7 != 0).alias("eligible"), (F.col("price_ore") / F.col("size")).alias("unit_price"),
-                                    F.lit(False).alias("approved"), F.lit(False).alias("rejected"))
+    accepted = link.pool_candidates(_links(t), pools, keep=("code", "price_ore", "size"))
+    return accepted.select(*link.POOL, "code", (F.col("size") % 7 != 0).alias("eligible"), (F.col("price_ore") / F.col("size")).alias("unit_price"))
 
 
 _SELECTED = """best_ AS (SELECT c.name, count(*) AS candidates, arg_min(struct_pack(code := code, unit_price := unit_price), struct_pack(p := unit_price, c := code)) FILTER (eligible AND NOT l.uncertain) AS b
@@ -102,7 +100,7 @@ def cheapest_eligible_link(t: Tables):
 @query("candidate_ranking", m.sql(*_ALL, body="""
 SELECT * FROM (SELECT name, code, eligible, unit_price, CAST(row_number() OVER (PARTITION BY name ORDER BY eligible DESC, unit_price NULLS LAST, code) AS INTEGER) AS rank FROM cand) WHERE rank <= 8"""))
 def candidate_ranking(t: Tables):
-    return link.rank_candidates(_candidates(t)).select("name", "code", "eligible", "unit_price", "rank")
+    return link.name_candidates(_links(t), _candidates(t)).select("name", "code", "eligible", "unit_price", "rank")
 
 
 @query("link_summary", m.sql(*_ALL, body="""
@@ -181,7 +179,7 @@ def connection_coverage(t: Tables):
 SELECT n.name, coalesce(string_agg(CAST(code AS VARCHAR) || ':' || price_ore, ',' ORDER BY rk), '') AS candidates
 FROM (SELECT DISTINCT name FROM cand) n LEFT JOIN (SELECT * FROM top JOIN products USING (code) WHERE rk <= 8 AND size % 5 <> 0) x USING (name) GROUP BY n.name"""))
 def stored_link_hydration(t: Tables):
-    ranked = link.rank_candidates(_candidates(t))
+    ranked = link.name_candidates(_links(t), _candidates(t))
     stored = ranked.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda c: c["code"]).alias("codes"))
     current = m.products(t).filter("size % 5 <> 0").select("code", "price_ore")
     return link.hydrate(stored, current).select("name", F.array_join(
@@ -209,3 +207,18 @@ def link_refresh_tombstones(t: Tables):
     runs = lines.groupBy(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.year("l_shipdate").alias("run")).agg(F.max("l_suppkey").alias("content"))
     state = runs.filter("run = 1996 AND content > 20").select("name", F.lit(1996).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"), "content", F.lit(False).alias("is_deleted"))
     return v.apply_delta(state, runs.filter("run = 1997 AND content > 60").drop("run"), 1997, ["name"], "content", tombstones=True)
+
+
+@query("reviewed_selection", m.sql(*_ALL, body="""
+, rej AS (SELECT name, code FROM cand WHERE name LIKE 'chopped %' AND code % 2 = 0), app AS (SELECT n.name, p.code, p.size % 3 <> 0 AS eligible, CAST(p.price_ore AS DOUBLE) / p.size AS unit_price FROM names n JOIN products p ON n.name = 'odd ' || p.name WHERE p.category = 'promo'),
+c2 AS (SELECT c.*, FALSE AS approved FROM cand c ANTI JOIN rej r ON r.name = c.name AND r.code = c.code UNION ALL SELECT *, TRUE FROM app),
+b AS (SELECT c2.name, arg_min(struct_pack(code := code, approved := approved), struct_pack(p := unit_price, c := code, a := NOT approved)) FILTER (eligible AND (approved OR NOT coalesce(l.uncertain, TRUE))) AS b FROM c2 JOIN links l USING (name) GROUP BY 1)
+SELECT n.name, CASE WHEN b IS NOT NULL THEN 'matched' WHEN l.rule_id IS NULL OR l.uncertain THEN 'needs_review' ELSE 'unavailable' END AS status, b.code AS selected_code, CASE WHEN b IS NOT NULL THEN b.approved END AS reviewed
+FROM names n JOIN links l USING (name) LEFT JOIN b USING (name)"""))
+def reviewed_selection(t: Tables):
+    links, candidates = _links(t), _candidates(t)
+    rejected = links.filter(F.col("name").startswith("chopped ")).select("name", *link.POOL).join(candidates, list(link.POOL)).filter("code % 2 = 0").select("name", "code")
+    goods = m.products(t).filter("category = 'promo'")
+    names = links.select("name").join(goods.select(F.concat(F.lit("odd "), "name").alias("name"), "code", (F.col("size") % 3 != 0).alias("eligible"), (F.col("price_ore") / F.col("size")).alias("unit_price")), "name")
+    out = link.select_links(requirements(t), links, candidates, approved=names, rejected=rejected)
+    return out.select("name", "status", "selected_code", F.when(F.col("status") == "matched", F.col("reason") == "reviewed").alias("reviewed"))

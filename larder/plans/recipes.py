@@ -10,6 +10,11 @@ from ..sources import feeds, tables
 from . import mapping as m
 from .registry import Tables, query, spread
 
+def line_band():
+    """Lines are ordered by number and part; a band of parts never decreases along that order."""
+    return F.struct(F.col("l_linenumber").alias("n"), F.floor(F.col("l_partkey") / 1024).alias("p"))
+
+
 WANTED = (r.Wanted("diet", "status"), r.Wanted("allergen", "nuts"), r.Wanted("cuisine", "low"), r.Wanted("cuisine", "urgent"))
 
 #: A recipe's classification rows: one diet, one allergen and five cuisines.
@@ -206,7 +211,7 @@ WITH d AS (SELECT conv_id, list(role || ':' || length(text) ORDER BY turn) AS it
 SELECT conv_id, len(items) AS total, coalesce(array_to_string(items[2:4], ','), '') AS items FROM d""")
 def nested_slice(t: Tables):
     turns = t.conversations.select("conv_id", "turn", F.concat_ws(":", "role", F.length("text")).alias("item"))
-    nested = corpus.nest_children(turns, "conv_id", ["turn"], ["item"], "turn")
+    nested = corpus.nest_children(turns, "conv_id", ["turn"], ["item"], F.col("turn"))
     documents = corpus.assemble_documents(turns.select("conv_id").distinct(), "conv_id", {"items": nested})
     flat = documents.select("conv_id", F.transform("items", lambda i: i["item"]).alias("items"))
     return r.nested_slice(flat, "items", 1, 3).select("conv_id", F.col("total").cast("bigint").alias("total"), F.array_join("items", ",").alias("items"))
@@ -223,7 +228,7 @@ def document_assembly(t: Tables):
                               F.col("l_quantity").cast("bigint").cast("string").alias("measured_quantity"), F.lit(None).cast("string").alias("qualitative_amount"),
                               F.lit(False).alias("quantity_conflict"))
     fields = ["ingredient_original", "unit", "measured_quantity", "qualitative_amount", "quantity_conflict"]
-    nested = corpus.nest_children(lines.withColumnRenamed("l_orderkey", "recipe_id"), "recipe_id", order, fields, "l_linenumber")
+    nested = corpus.nest_children(lines.withColumnRenamed("l_orderkey", "recipe_id"), "recipe_id", order, fields, bucket=line_band())
     parents = t.orders.select(
         F.col("o_orderkey").alias("recipe_id"), F.struct(F.when(F.col("o_orderstatus") == "F", 4.0).otherwise(2.0).alias("servings"), F.lit(None).cast("string").alias("yield"),
                                                          F.col("o_orderpriority").alias("name")).alias("source"),
@@ -239,7 +244,7 @@ WITH a AS (SELECT conv_id, turn, role FROM conversations), b AS (SELECT conv_id,
 SELECT *, CAST(1 AS BIGINT) AS surplus FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, -1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def release_parity(t: Tables):
     turns = t.conversations.select("conv_id", "turn", "role")
-    nested = corpus.nest_children(turns, "conv_id", ["turn"], ["role"], "turn")
+    nested = corpus.nest_children(turns, "conv_id", ["turn"], ["role"], F.col("turn"))
     edited = F.when((F.col("turn") == 0) & (F.col("conv_id") % 9 == 0), F.upper("role")).otherwise(F.col("role"))
     return corpus.release_differences(nested, "conv_id", "items", turns.withColumn("role", edited))
 
@@ -249,7 +254,7 @@ WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p, coun
 x AS (SELECT *, CAST(least(floor((p - 1) * 5 / c), 4) AS INTEGER) AS part, CAST(ceil(p / 25.0) AS INTEGER) AS batch, CAST(ceil(p / ceil(c / 3.0)) AS INTEGER) AS compact_part FROM n)
 SELECT part, batch, compact_part, count(*) AS rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM x GROUP BY ALL""")
 def equal_part_split(t: Tables):
-    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 4096)
+    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 65536)
     rows = batching.equal_parts(t.orders.select("o_orderkey"), 5, order, bucket)
     rows = batching.compact_parts(batching.fixed_batches(rows, 25, order, bucket), 3, order, bucket, out="compact_part")
     return rows.groupBy("part", "batch", "compact_part").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id"))
@@ -277,7 +282,7 @@ def unresolved_readiness(t: Tables):
 SELECT (SELECT count(*) FROM orders) AS recipes, (SELECT count(*) FROM lineitem) AS ingredients, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS reviews""")
 def nested_length_totals(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("recipe_id"), "l_linenumber", "l_partkey", "l_returnflag")
-    nest = lambda rows: corpus.nest_children(rows, "recipe_id", ["l_linenumber", "l_partkey"], [], "l_linenumber")
+    nest = lambda rows: corpus.nest_children(rows, "recipe_id", ["l_linenumber", "l_partkey"], [], bucket=line_band())
     parents = t.orders.select(F.col("o_orderkey").alias("recipe_id"))
     documents = corpus.assemble_documents(parents, "recipe_id", {"ingredients": nest(lines), "reviews": nest(lines.filter("l_returnflag = 'R'"))})
     filled = documents.select("recipe_id", *[F.coalesce(c, F.array()).alias(c) for c in ("ingredients", "reviews")])
@@ -306,7 +311,7 @@ p AS (SELECT part, count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS h
 SELECT part, CASE WHEN part < 2 THEN 'loaded' WHEN part = 2 THEN 'conflict' ELSE 'pending' END AS state, rows,
   (SELECT CAST(sum(rows) AS BIGINT) FROM p WHERE part < 3) AS loaded FROM p""")
 def load_plan(t: Tables):
-    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 4096)
+    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 65536)
     parted = batching.equal_parts(t.orders.select("o_orderkey"), 5, order, bucket)
     manifest = batching.part_summary(parted, "o_orderkey").withColumn("sha256", F.sha2(F.concat_ws(":", "part", "rows"), 256))
     loaded = manifest.filter("part < 3").select("part", F.when(F.col("part") == 2, "other").otherwise(F.col("sha256")).alias("sha256"))
@@ -335,12 +340,12 @@ def release_record_checks(t: Tables):
 SELECT o_orderkey AS recipe_id, o_orderpriority AS name, count(*) AS ingredient_count, count(*) FILTER (l_returnflag = 'R') AS review_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
 def summary_projection(t: Tables):
     lines = t.lineitem.select(F.col("l_orderkey").alias("recipe_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", m.states("l_returnflag").alias("state"))
-    nest = lambda rows, fields: corpus.nest_children(rows, "recipe_id", ["l_linenumber", "l_partkey", "l_suppkey"], fields, "l_linenumber")
+    nest = lambda rows, fields: corpus.nest_children(rows, "recipe_id", ["l_linenumber", "l_partkey", "l_suppkey"], fields, bucket=line_band())
     filters = lines.groupBy("recipe_id", F.col("l_linenumber").alias("filter_id")).agg(F.max("state").alias("state"))
     parents = t.orders.select(F.col("o_orderkey").alias("recipe_id"), F.struct(F.col("o_orderpriority").alias("name"), F.lit(2.0).alias("servings")).alias("source"),
                               F.struct(F.lit(1).alias("nutrients")).alias("profile"))
     documents = corpus.assemble_documents(parents, "recipe_id", {
-        "ingredients": nest(lines, []), "reviews": nest(lines.filter("l_returnflag = 'R'"), []), "filters": corpus.nest_children(filters, "recipe_id", ["filter_id"], ["state"], "filter_id")})
+        "ingredients": nest(lines, []), "reviews": nest(lines.filter("l_returnflag = 'R'"), []), "filters": corpus.nest_children(filters, "recipe_id", ["filter_id"], ["state"], F.col("filter_id"))})
     filled = documents.filter("ingredients IS NOT NULL").withColumn("reviews", F.coalesce("reviews", F.array()))
     return r.summary_projection(filled).select("recipe_id", "name", F.col("ingredient_count").cast("bigint").alias("ingredient_count"), F.col("review_count").cast("bigint").alias("review_count"))
 

@@ -32,8 +32,9 @@ def test_pools_and_statuses(spark):
     assert sorted((x.rule_id, x.code) for x in pools.collect()) == [("garlic", "3"), ("garlic-powder", "4"), ("onion", "1"), ("onion", "2")]
     wanted = spark.createDataFrame([("onion", 5), ("milk", 2), ("bacon", 1), ("hot water", 9), ("stone", 1)], "name string, occurrences bigint")
     links = link.link_aliases(wanted, link.alias_table(spark, RULES), 3)
-    pairs = links.filter("rule_id IS NOT NULL").join(pools, "rule_id").join(products(spark), "code").select(
-        "name", "code", F.lit(True).alias("eligible"), F.col("price").cast("double").alias("unit_price"), F.lit(False).alias("approved"), F.lit(False).alias("rejected"))
+    goods = link.rule_pools(products(spark).withColumn("raw_title", F.col("title")).withColumn("brand", F.lit(None).cast("string")), RULES, ("code", "title", "raw_title", "categories", "brand", "price"))
+    pairs = link.pool_candidates(links, goods, ("code", "price")).select(
+        *link.POOL, "code", F.lit(True).alias("eligible"), F.col("price").cast("double").alias("unit_price"))
     got = {x.name: (x.status, x.selected_code) for x in link.select_links(wanted, links, pairs).collect()}
     assert got == {"onion": ("matched", "2"), "milk": ("unavailable", None), "bacon": ("excluded", None), "hot water": ("non_purchased", None), "stone": ("needs_review", None)}
 
@@ -126,7 +127,9 @@ def test_connection_set_rules(spark):
 
 def test_documents_split_huge_parents(spark):
     children = spark.range(2500).select(F.when(F.col("id") < 2490, "hot").otherwise("small").alias("doc"), F.col("id").alias("idx"))
-    parts = corpus.nest_children(children, "doc", ["idx"], [], "idx")
+    parts = corpus.nest_children(children, "doc", ["idx"], [], F.col("idx"))
+    counted = corpus.nest_children(children, "doc", ["idx"], [], bucket=F.floor(F.col("idx") / 100))
+    assert {(x.doc, x.part, len(x["items"])) for x in counted.collect()} == {("hot", 0, 1000), ("hot", 1, 1000), ("hot", 2, 490), ("small", 0, 10)}
     assert {(x.doc, x.part, len(x["items"])) for x in parts.collect()} == {("hot", 0, 1000), ("hot", 1, 1000), ("hot", 2, 490), ("small", 2, 10)}
 
 
