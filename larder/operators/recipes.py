@@ -319,3 +319,24 @@ def unpivot_axes(df: DataFrame, key: str, axes: Mapping[str, str]) -> DataFrame:
     """Wide per-recipe classification columns to (recipe_id, filter_id, state) rows."""
     cells = [F.struct(F.lit(name).alias("filter_id"), F.col(col).alias("state")) for name, col in axes.items()]
     return df.select(F.col(key).alias("recipe_id"), F.explode(F.array(*cells)).alias("__c")).select("recipe_id", "__c.*")
+
+
+def build_overlay(base: DataFrame, revised: DataFrame, width: int = CHUNK_WIDTH) -> tuple[DataFrame, DataFrame]:
+    """(changed classification rows with their chunk, full replacement sets).
+
+    base / revised (recipe_id, filter_id, state).  Only changed rows ship; the sets ship whole, with
+    empty ones, so that an old match cannot leak through.
+    """
+    from .versions import changed_rows
+
+    changed = changed_rows(base, revised, ["recipe_id", "filter_id"], ["state"])
+    return changed.withColumn("chunk", F.floor(F.col("recipe_id") / width)), filter_sets(revised, width)
+
+
+def backfill_projection(documents: DataFrame, stored: DataFrame, after: int = 0) -> DataFrame:
+    """New projection table after projecting every document past a key; equal rows are kept untouched."""
+    from .versions import upsert_if_changed
+
+    fresh = quote_projection(documents.filter(F.col("recipe_id") > after))
+    body = F.to_json(F.struct(*[c for c in fresh.columns if c != "recipe_id"]), {"ignoreNullFields": "false"})
+    return upsert_if_changed(stored, fresh.select("recipe_id", body.alias("document")), ["recipe_id"], "document")

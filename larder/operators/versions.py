@@ -217,3 +217,25 @@ def changed_rows(before: DataFrame, after: DataFrame, keys: Sequence[str], value
     old = before.select(*keys, F.struct(*values).alias("__old"))
     joined = after.join(old, list(keys), "left")
     return joined.filter(~F.struct(*values).eqNullSafe(F.col("__old"))).drop("__old")
+
+
+def active_snapshots(snapshots: DataFrame, scope: Sequence[str] = ("store",)) -> DataFrame:
+    """The newest complete snapshot of each scope: one pointer row per scope."""
+    return snapshots.groupBy(*scope).agg(F.max("revision").alias("revision"))
+
+
+def price_links(links: DataFrame, versions: DataFrame, pointer: DataFrame, scope: Sequence[str] = ("store",)) -> DataFrame:
+    """Links with the product version that the pinned snapshot of their scope shows; missing products keep a NULL.
+
+    links (store, name, code).
+    """
+    live = as_of(versions, pointer, scope)
+    return links.join(live, [*scope, "code"], "left")
+
+
+def freshness(entries: DataFrame, observed: str, now: Column, keys: Sequence[str] = ("store",)) -> DataFrame:
+    """Oldest observation, whether it is still current, and when it stops being so."""
+    from ..functions import calendar as cal
+
+    oldest = entries.groupBy(*keys).agg(F.min(observed).alias("oldest"), F.count(F.lit(1)).alias("products"))
+    return oldest.withColumn("fresh", cal.scan_is_current(F.col("oldest"), now)).withColumn("expires_at", cal.week_end(F.col("oldest")))

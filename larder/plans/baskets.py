@@ -201,3 +201,16 @@ def unit_switch(t: Tables):
 @query("tracked_products", m.sql(_DEMANDS, body="SELECT DISTINCT product_id FROM dem JOIN appr USING (ingredient_id) WHERE rk <= 2 OR NOT even"))
 def tracked_products(t: Tables):
     return b.tracked_products(demands(t))
+
+
+@query("finalist_pricing", m.sql(_DEMANDS, _OPTIONS, _COVER, _BASKET, body="""
+, pick AS (SELECT menu_id, arg_min(struct_pack(id := product_id, size := size, price := amount_ore + size * 10, q := quantity), struct_pack(c := CAST(ceil(quantity / size) AS BIGINT) * (amount_ore + size * 10), id := product_id)) AS b FROM opts GROUP BY menu_id, ingredient_id),
+need AS (SELECT menu_id, b.id, b.size AS size, b.price AS price, sum(b.q) AS q FROM pick GROUP BY ALL), ref AS (SELECT menu_id, CAST(sum(CAST(ceil(q / size) AS BIGINT) * price) AS BIGINT) AS reference_ore FROM need GROUP BY menu_id),
+f AS (SELECT *, complete AND known <= budget_ore AS feasible FROM priced),
+rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY feasible DESC, CASE WHEN feasible THEN known END NULLS LAST, menu_id) AS position FROM f)
+SELECT request_id, menu_id, reference_ore, CASE WHEN complete THEN known END AS purchase_ore, feasible AND position = 1 AS selected FROM rk LEFT JOIN ref USING (menu_id)"""))
+def finalist_pricing(t: Tables):
+    _, options, _ = _needs_and_options(t)
+    estimates = b.reference_estimate(options)
+    ranked = b.rank_menus(_optimised(t).join(t.customer.select(F.col("c_custkey").alias("menu_id"), F.col("c_nationkey").alias("request_id")), "menu_id"))
+    return ranked.join(estimates, "menu_id", "left").select("request_id", "menu_id", "reference_ore", "purchase_ore", "selected")

@@ -272,3 +272,21 @@ def chunk_manifest(t: Tables):
     rows = t.orders.select("o_orderkey", "o_orderstatus")
     chunked = rows.withColumn("kind", F.lit("orders")).withColumn("chunk", F.floor(F.col("o_orderkey") / 1024))
     return tables.chunk_manifest(chunked, rows.columns).drop("digest")
+
+
+@query("links_as_of_snapshot", m.sql(m.SCANS, body="""
+, ptr AS (SELECT store, max(revision) AS revision FROM scans GROUP BY store), l AS (SELECT DISTINCT n_regionkey AS store, l_partkey AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT l.store, 'part ' || l.code AS name, l.code, s.price_ore FROM l JOIN ptr USING (store) LEFT JOIN scans s ON s.store = l.store AND s.code = l.code AND s.revision = ptr.revision"""))
+def links_as_of_snapshot(t: Tables):
+    rows = m.scans(t)
+    links = rows.select("store", "code").distinct().withColumn("name", F.concat(F.lit("part "), "code"))
+    priced = v.price_links(links, _versions(t), v.active_snapshots(rows))
+    return priced.select("store", "name", "code", "price_ore")
+
+
+@query("catalogue_freshness", m.sql(m.SCANS, body=f"""
+SELECT store, revision, {m.sql_stamp('min(observed_at)')} AS oldest, count(*) AS products, min(observed_at) <= TIMESTAMP '1996-01-05' AND {m.sql_week_end('min(observed_at)')} = {m.sql_week_end("TIMESTAMP '1996-01-04 12:00:00'")} AS fresh,
+  {m.sql_stamp(m.sql_week_end('min(observed_at)'))} AS expires_at FROM scans GROUP BY store, revision"""))
+def catalogue_freshness(t: Tables):
+    out = v.freshness(m.scans(t), "observed_at", F.lit("1996-01-04 12:00:00").cast("timestamp_ntz"), ["store", "revision"])
+    return out.withColumn("oldest", m.stamp(F.col("oldest"))).withColumn("expires_at", m.stamp(F.col("expires_at")))

@@ -356,3 +356,30 @@ SELECT 'readiness_ids' AS gate, extra = 0 AS ok, CAST(extra AS VARCHAR) AS obser
 def readiness_reconciliation(t: Tables):
     return quality.same_keys_gate("readiness_ids", t.orders.select(F.col("o_orderkey").alias("recipe_id")),
                                   t.lineitem.select(F.col("l_orderkey").alias("recipe_id")), ["recipe_id"])
+
+
+@query("overlay_build", f"""
+WITH base AS (SELECT l_orderkey AS recipe_id, l_linenumber AS filter_id, max({m.STATE}) AS state FROM lineitem GROUP BY ALL), rev AS (SELECT l_orderkey AS recipe_id, l_linenumber AS filter_id, min({m.STATE}) AS state FROM lineitem GROUP BY ALL),
+st(state) AS (VALUES ('yes'), ('no'), ('unknown'))
+SELECT 'changed' AS kind, CAST(floor(recipe_id / 1024) AS BIGINT) AS chunk, NULL AS filter_key, count(*) AS rows FROM rev JOIN base USING (recipe_id, filter_id) WHERE rev.state <> base.state GROUP BY ALL
+UNION ALL SELECT 'set', NULL, filter_id || ':' || state, (SELECT count(*) FROM rev r WHERE r.filter_id = f.filter_id AND r.state = st.state) FROM (SELECT DISTINCT filter_id FROM rev) f, st""")
+def overlay_build(t: Tables):
+    rows = t.lineitem.withColumn("state", m.states("l_returnflag")).groupBy(F.col("l_orderkey").alias("recipe_id"), F.col("l_linenumber").alias("filter_id"))
+    both = rows.agg(F.max("state").alias("old"), F.min("state").alias("new"))
+    changed, sets = r.build_overlay(both.select("recipe_id", "filter_id", F.col("old").alias("state")), both.select("recipe_id", "filter_id", F.col("new").alias("state")))
+    per_chunk = changed.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("changed").alias("kind"), "chunk", F.lit(None).cast("string").alias("filter_key"), "rows")
+    per_set = sets.groupBy(F.concat_ws(":", "filter_id", "state").alias("filter_key")).agg(F.sum(F.size("recipe_ids")).alias("rows"))
+    return per_chunk.unionByName(per_set.select(F.lit("set").alias("kind"), F.lit(None).cast("bigint").alias("chunk"), "filter_key", "rows"))
+
+
+@query("projection_backfill", """
+SELECT o_orderkey AS recipe_id, CASE WHEN o_orderkey <= 1000 THEN 'kept' WHEN o_orderkey % 5 = 0 THEN 'inserted' WHEN o_orderkey % 5 = 1 THEN 'updated' ELSE 'kept' END AS action FROM orders WHERE o_orderkey > 1000 OR o_orderkey % 5 <> 0""")
+def projection_backfill(t: Tables):
+    key = F.col("o_orderkey")
+    line = F.struct(F.lit("x").alias("ingredient_original"), F.lit("g").alias("unit"), F.lit("1").alias("measured_quantity"), F.lit(None).cast("string").alias("qualitative_amount"), F.lit(False).alias("quantity_conflict"))
+    documents = t.orders.select(key.alias("recipe_id"), F.struct(F.lit(2.0).alias("servings"), F.lit(None).cast("string").alias("yield")).alias("source"), F.array(line).alias("ingredients"),
+                                F.struct(F.col("o_custkey").alias("nutrients")).alias("profile"))
+    narrow = r.quote_projection(documents)
+    body = F.to_json(F.struct(*[c for c in narrow.columns if c != "recipe_id"]), {"ignoreNullFields": "false"})
+    stored = narrow.filter("recipe_id % 5 <> 0").select("recipe_id", F.when(F.col("recipe_id") % 5 == 1, "old").otherwise(body).alias("document"))
+    return r.backfill_projection(documents, stored, after=1000).select("recipe_id", "action")
