@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 #: Source keys that carry pricing (fixed value).
@@ -71,11 +69,3 @@ def table_digest(row_hash: Column) -> Column:
     """
     sums = [F.sum(lane).cast("string") for lane in digest_lanes(row_hash)]
     return F.sha2(F.concat_ws(":", F.count(row_hash).cast("string"), *[F.coalesce(s, F.lit("0")) for s in sums]), 256)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

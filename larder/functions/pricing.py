@@ -8,7 +8,6 @@ from . import calendar as cal
 from .money import MAPPED_PACKAGE_PRICE_UNITS, PACKAGE_PRICE_UNITS, exact_cost, ore, price_unit_key
 
 GENERAL_CAMPAIGN = "GENERAL"
-BASIS_UNIT = {"kg": "g", "l": "ml", "piece": "piece"}
 
 
 def basis_unit(basis: Column) -> Column:

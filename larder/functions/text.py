@@ -121,11 +121,6 @@ def contains_folded(text: Column, needle: str) -> Column:
     return F.contains(swedish_lower(text), F.lit(needle.lower()))
 
 
-def has_words(text: Column, words: str) -> Column:
-    """``text`` (already folded) contains the whole-word alternatives ``words``."""
-    return text.rlike(rf"\b(?:{words})\b")
-
-
 def first_text(*candidates: Column) -> Column:
     """First alternative that is a non-blank string, trimmed."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])

@@ -301,7 +301,7 @@ def table_digest_per_scan(t: Tables):
 
 
 @query("store_scope_key", """
-SELECT s_suppkey, '["coop","' || s_suppkey || '","' || CASE WHEN s_acctbal < 0 THEN 'drone' WHEN s_nationkey % 2 = 0 THEN 'pickup' ELSE 'delivery' END || '",null]' AS scope_key,
+SELECT s_suppkey, '["shop","' || s_suppkey || '","' || CASE WHEN s_acctbal < 0 THEN 'drone' WHEN s_nationkey % 2 = 0 THEN 'pickup' ELSE 'delivery' END || '",null]' AS scope_key,
   s_acctbal >= 0 AS valid, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') END AS postal_code
 FROM supplier""")
 def store_scope_key(t: Tables):
@@ -310,5 +310,5 @@ def store_scope_key(t: Tables):
     code = F.concat(F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.when(F.col("s_suppkey") % 3 == 0, "-").otherwise(" "),
                     F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
     return t.supplier.select(
-        "s_suppkey", feeds.scope_key(F.lit("coop"), store, channel, slot).alias("scope_key"),
+        "s_suppkey", feeds.scope_key(F.lit("shop"), store, channel, slot).alias("scope_key"),
         feeds.scope_valid(store, channel, slot).alias("valid"), feeds.postal_code(code).alias("postal_code"))

@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from larder.operators import basket  # noqa: F401
 from larder.plans.registry import spread
 from larder.sources import feeds, tables
 from larder.streaming import jobs
