@@ -13,18 +13,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _ordered_offsets(rows: DataFrame, keys: Sequence[str], measure: Column) -> DataFrame:
+    """Per bucket: what lies before it, and the total of its key."""
     sums = rows.groupBy(*keys, "__bucket").agg(measure.alias("__m"))
-    over = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*keys, "__bucket", F.coalesce(F.sum("__m").over(over), F.lit(0)).alias("__offset"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*keys, "__bucket", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__offset"), F.sum("__m").over(whole).alias("__total"))
 
 
-def with_position(df: DataFrame, order: Sequence[Column], bucket: Column, keys: Sequence[str] = (), out: str = "position") -> DataFrame:
-    """Add the 1-based position along ``order`` (per ``keys``)."""
+def with_position(df: DataFrame, order: Sequence[Column], bucket: Column, keys: Sequence[str] = (), out: str = "position",
+                  total: str | None = None) -> DataFrame:
+    """Add the 1-based position along ``order`` (per ``keys``), and the number of rows as ``total``."""
     rows = df.withColumn("__bucket", bucket)
     offsets = _ordered_offsets(rows, keys, F.count(F.lit(1)))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     numbered = rows.withColumn("__n", F.row_number().over(inside)).join(offsets, [*keys, "__bucket"])
-    return numbered.withColumn(out, F.col("__offset") + F.col("__n")).drop("__bucket", "__n", "__offset")
+    placed = numbered.withColumn(out, F.col("__offset") + F.col("__n"))
+    if total is not None:
+        placed = placed.withColumn(total, F.col("__total"))
+    return placed.drop("__bucket", "__n", "__offset", "__total")
 
 
 def with_running_sum(df: DataFrame, value: Column, order: Sequence[Column], bucket: Column, keys: Sequence[str] = (), out: str = "running") -> DataFrame:
@@ -33,7 +39,7 @@ def with_running_sum(df: DataFrame, value: Column, order: Sequence[Column], buck
     offsets = _ordered_offsets(rows, keys, F.sum("__v"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("__s", F.sum("__v").over(inside)).join(offsets, [*keys, "__bucket"])
-    return summed.withColumn(out, F.col("__offset") + F.col("__s")).drop("__bucket", "__v", "__s", "__offset")
+    return summed.withColumn(out, F.col("__offset") + F.col("__s")).drop("__bucket", "__v", "__s", "__offset", "__total")
 
 
 def fixed_batches(df: DataFrame, size: int, order: Sequence[Column], bucket: Column, out: str = "batch") -> DataFrame:
@@ -43,19 +49,15 @@ def fixed_batches(df: DataFrame, size: int, order: Sequence[Column], bucket: Col
 
 def equal_parts(df: DataFrame, parts: int, order: Sequence[Column], bucket: Column, out: str = "part") -> DataFrame:
     """Contiguous parts ``min(floor(index * parts / n), parts - 1)``, numbered from 0."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    rows = with_position(df, order, bucket, out="__p").withColumn("__one", F.lit(1)).join(
-        F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    index = F.floor((F.col("__p") - 1) * parts / F.col("__total"))
-    return rows.withColumn(out, F.least(index, F.lit(parts - 1)).cast("int")).drop("__p", "__one", "__total")
+    rows = with_position(df, order, bucket, out="__p", total="__all")
+    index = F.floor((F.col("__p") - 1) * parts / F.col("__all"))
+    return rows.withColumn(out, F.least(index, F.lit(parts - 1)).cast("int")).drop("__p", "__all")
 
 
 def compact_parts(df: DataFrame, parts: int, order: Sequence[Column], bucket: Column, out: str = "part") -> DataFrame:
     """Parts of ``ceil(n / parts)`` rows, numbered from 1."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    rows = with_position(df, order, bucket, out="__p").withColumn("__one", F.lit(1)).join(
-        F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-    return rows.withColumn(out, F.ceil(F.col("__p") / F.ceil(F.col("__total") / parts)).cast("int")).drop("__p", "__one", "__total")
+    rows = with_position(df, order, bucket, out="__p", total="__all")
+    return rows.withColumn(out, F.ceil(F.col("__p") / F.ceil(F.col("__all") / parts)).cast("int")).drop("__p", "__all")
 
 
 def part_summary(parted: DataFrame, key: str, part: str = "part") -> DataFrame:

@@ -78,6 +78,11 @@ RETAIL_PRODUCT = (
 )
 
 
+def _instant(text: Column) -> Column:
+    """ISO text to its UTC instant, whatever the session zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+
+
 def category_path(nav: Column) -> Column:
     """Category codes with all their ancestors, first occurrence order, depth three."""
     def up(level: Column) -> Column:
@@ -102,7 +107,7 @@ def retail_observations(df: DataFrame, column: str, scope: str, checked_at: Colu
     offers = F.transform(p("onlinePromotions"), lambda o: F.struct(
         F.when(weighed, nested_money_ore(o["priceData"]["b2cPrice"])).otherwise(nested_money_ore(o["piecePriceData"]["b2cPrice"])).alias("amount_ore"),
         o["type"].alias("type"), o["medMeraRequired"].alias("member_only"), o["minimumQuantity"].alias("minimum"),
-        F.try_to_timestamp(o["startDate"]).cast("timestamp_ntz").alias("starts"), F.try_to_timestamp(o["endDate"]).cast("timestamp_ntz").alias("ends")))
+        _instant(o["startDate"]).alias("starts"), _instant(o["endDate"]).alias("ends")))
     promo = F.when(verified, public_promotion(regular, offers, checked_at))
     pack = feed_pack(p("packageSize"), p("size"), p("netContent"), unit_text=p("packageSizeUnit"), info_text=p("packageSizeInformation"))
     from ..functions.packs import feed_quantity
