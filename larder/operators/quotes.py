@@ -99,9 +99,7 @@ def cost_lines(lines: DataFrame, links: DataFrame, products: DataFrame, now: Col
 
 
 def line_groups(lines: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
-    """Costed lines summed per (menu, product, unit): the one pass both the shopping list and the totals read.
-
-    Combines map-side; the two readers share its shuffle.
+    """Costed lines summed per (menu, product, unit): the input of the shopping list and of the totals.
     """
     priced = F.col("status") == "priced"
     return lines.groupBy(*keys, "code", "amount_unit").agg(
@@ -119,42 +117,48 @@ def recipe_costs(lines: DataFrame, keys: tuple[str, ...] = ("menu_id", "recipe_i
     return grouped.select(*keys, "lines", "unresolved", F.when(F.col("unresolved") == 0, known).alias("consumed_ore"), known.alias("known_consumed_ore"))
 
 
-def shopping_list(groups: DataFrame, products: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
-    """Whole packs per (menu, product, unit), rounded once per group.
-
-    ``groups`` come from ``line_groups``; product attributes join after the sums, so wide product
-    rows are not shuffled per line.
-    """
-    rows = groups.filter("priced > 0").join(products, "code")
-    unit = price_unit_key(F.col("price_unit"))
-    weighed = unit.isin("kr/kg", "kr/l")
-    boxed = ~weighed & (F.col("pack.unit") == F.col("amount_unit")) & (F.col("pack.quantity") > 0) & ~F.col("pack.approximate")
+def _bought(groups: DataFrame, products: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Every line group with its packs, purchase and deposit; groups without a priced line keep NULLs."""
+    rows = groups.join(products, "code", "left")
+    unit, priced = price_unit_key(F.col("price_unit")), F.col("priced") > 0
+    weighed = priced & unit.isin("kr/kg", "kr/l")
+    boxed = priced & ~weighed & (F.col("pack.unit") == F.col("amount_unit")) & (F.col("pack.quantity") > 0) & ~F.col("pack.approximate")
     packs = F.when(F.coalesce(boxed, F.lit(False)), F.ceil(F.col("amount") / F.col("pack.quantity")).cast("bigint"))
     rows = rows.withColumn("packs", packs).withColumn("consumed_ore", round_cost(F.col("cost")))
     return rows.select(
         *keys, "code", "amount_unit", "amount", "packs", "consumed_ore",
         F.when(F.col("packs").isNotNull(), F.col("packs") * F.col("price_ore")).when(weighed, F.col("consumed_ore")).alias("purchase_ore"),
         F.when(F.col("packs").isNotNull(), F.col("packs") * F.col("deposit_ore")).when(weighed & (F.col("deposit_ore") == 0), F.lit(0).cast("bigint")).alias("deposit_ore"),
-        "amount_approximate", "expires_at")
-
-
-def quote_totals(groups: DataFrame, shopping: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
-    """Menu totals with completeness: NULL when anything is unresolved, known parts separately."""
-    consumed = groups.groupBy(*keys).agg(
-        F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,9)").alias("__cost"), F.sum("unresolved").alias("unresolved"))
-    bought = shopping.groupBy(*keys).agg(
-        F.sum(F.coalesce("purchase_ore", F.lit(0)) + F.coalesce("deposit_ore", F.lit(0))).alias("known_purchase_ore"),
-        F.count_if(F.col("purchase_ore").isNull() | F.col("deposit_ore").isNull()).alias("__open"),
-        F.min("expires_at").alias("earliest_expiry"))
-    joined = consumed.join(bought, list(keys), "left")
+        "amount_approximate", "expires_at", "cost", "unresolved", "priced")
+
+
+def shopping_list(groups: DataFrame, products: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
+    """Whole packs per (menu, product, unit), rounded once per group.
+
+    ``groups`` come from ``line_groups``; product attributes join after the sums, so wide product
+    rows are not shuffled per line.
+    """
+    return _bought(groups, products, keys).filter("priced > 0").drop("cost", "unresolved", "priced")
+
+
+def quote_totals(groups: DataFrame, products: DataFrame, keys: tuple[str, ...] = ("menu_id",)) -> DataFrame:
+    """Menu totals with completeness: NULL when anything is unresolved, known parts separately.
+
+    Consumption and purchase come from one pass over the line groups.
+    """
+    priced = F.col("priced") > 0
+    sums = _bought(groups, products, keys).groupBy(*keys).agg(
+        F.coalesce(F.sum("cost"), F.lit(0)).cast("decimal(38,9)").alias("__cost"), F.sum("unresolved").alias("unresolved"),
+        F.coalesce(F.sum(F.coalesce("purchase_ore", F.lit(0)) + F.coalesce("deposit_ore", F.lit(0))), F.lit(0)).alias("__total"),
+        F.count_if(priced & (F.col("purchase_ore").isNull() | F.col("deposit_ore").isNull())).alias("__open"),
+        F.min(F.when(priced, F.col("expires_at"))).alias("earliest_expiry"))
     complete = F.col("unresolved") == 0
-    whole = complete & (F.coalesce("__open", F.lit(0)) == 0)
+    whole = complete & (F.col("__open") == 0)
     known = round_cost(F.col("__cost"))
-    total = F.coalesce("known_purchase_ore", F.lit(0).cast("bigint"))
-    return joined.select(
+    return sums.select(
         *keys, "unresolved", complete.alias("complete"), whole.alias("purchase_complete"),
         F.when(complete, known).alias("consumed_ore"), known.alias("known_consumed_ore"),
-        F.when(whole, total).alias("purchase_ore"), total.alias("known_purchase_ore"), "earliest_expiry")
+        F.when(whole, F.col("__total")).alias("purchase_ore"), F.col("__total").alias("known_purchase_ore"), "earliest_expiry")
 
 
 def price_query(requests: DataFrame, products: DataFrame, now: Column) -> DataFrame:

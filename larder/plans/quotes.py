@@ -40,7 +40,7 @@ def menu_lines(t: Tables):
 def shopping_list_quote(t: Tables):
     """Menus to shopping lists to totals: the flagship."""
     groups = q.line_groups(menu_lines(t))
-    return q.quote_totals(groups, q.shopping_list(groups, piece_products(t))).select("menu_id", "unresolved", "complete", "consumed_ore", "purchase_ore", m.stamp(F.col("earliest_expiry")).alias("earliest_expiry"))
+    return q.quote_totals(groups, piece_products(t)).select("menu_id", "unresolved", "complete", "consumed_ore", "purchase_ore", m.stamp(F.col("earliest_expiry")).alias("earliest_expiry"))
 
 
 query("shopping_list_quote", m.sql(m.PRODUCTS, body=f"""
@@ -137,7 +137,7 @@ SELECT menu_id, count(*) FILTER (status = 'unresolved') AS unresolved, count(*)
 def menu_quote(t: Tables):
     lines, products = costed_lines(t)
     groups = q.line_groups(lines)
-    return q.quote_totals(groups, q.shopping_list(groups, products)).select("menu_id", "unresolved", "complete", "purchase_complete", "consumed_ore", "known_consumed_ore")
+    return q.quote_totals(groups, products).select("menu_id", "unresolved", "complete", "purchase_complete", "consumed_ore", "known_consumed_ore")
 
 
 @query("override_violations", """
