@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, words: Column) -> Column:
     """1 for documents whose words (with one separator) are 4 to 9 characters on average, else 1/4."""
-    mean = F.length(text) / words
+    mean = F.length(text) / F.nullif(words, F.lit(0))
     return F.when((mean >= 4) & (mean <= 9), 1.0).otherwise(0.25)
 
 

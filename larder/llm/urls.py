@@ -89,8 +89,11 @@ def threshold(ruled: DataFrame) -> int:
     below = steps.withColumn("yes_below", F.coalesce(F.sum("yes").over(before), F.lit(0))).withColumn("no_below", F.coalesce(F.sum("no").over(before), F.lit(0)))
     below = below.withColumn("all_yes", F.sum("yes").over(everything)).withColumn("all_no", F.sum("no").over(everything))
     wrong = F.col("yes_below") * F.col("all_no") + (F.col("all_no") - F.col("no_below")) * F.col("all_yes")
-    best = below.filter("all_yes > 0 AND all_no > 0").agg(F.min(F.struct(wrong, F.abs("step"), "step")).alias("best")).first()["best"]
-    return 0 if best is None else best["step"]
+    # Between two steps that occur every threshold errs alike: take the one nearest 0.
+    before_it = F.coalesce(F.lag("step").over(Window.orderBy("step")), F.lit(-STEPS - 1))
+    below = below.withColumn("limit", F.least(F.greatest(F.lit(0), before_it + 1), "step"))
+    best = below.filter("all_yes > 0 AND all_no > 0").agg(F.min(F.struct(wrong, F.abs("limit"), "limit")).alias("best")).first()["best"]
+    return 0 if best is None else best["limit"]
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -157,9 +160,10 @@ c AS (SELECT g AS gram, round((ln(p_yes) - ln(p_no)) * 1e6)::BIGINT AS ratio FRO
 s AS (SELECT r, sum(ratio) AS total FROM x JOIN c USING (gram) GROUP BY r),
 z AS (SELECT h.*, least(greatest(floor(coalesce(total, 0)::DOUBLE / (greatest(n, 1) * {STEP})), -{STEPS}), {STEPS})::INTEGER AS step FROM h LEFT JOIN s USING (r)),
 b AS (SELECT step, sum((ruled = 'allow')::BIGINT) AS yes, sum((ruled = 'block')::BIGINT) AS no FROM z WHERE held AND ruled IS NOT NULL GROUP BY step),
-t AS (SELECT step, coalesce(sum(yes) OVER o, 0) AS yes_below, coalesce(sum(no) OVER o, 0) AS no_below, sum(yes) OVER () AS all_yes, sum(no) OVER () AS all_no
+t AS (SELECT step, coalesce(sum(yes) OVER o, 0) AS yes_below, coalesce(sum(no) OVER o, 0) AS no_below, sum(yes) OVER () AS all_yes, sum(no) OVER () AS all_no,
+             least(greatest(0, coalesce(lag(step) OVER (ORDER BY step), -{STEPS} - 1) + 1), step) AS lim
       FROM b WINDOW o AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT coalesce((SELECT step FROM t WHERE all_yes > 0 AND all_no > 0 ORDER BY yes_below * all_no + (all_no - no_below) * all_yes, abs(step), step LIMIT 1), 0) AS least)
+m AS (SELECT coalesce((SELECT lim FROM t WHERE all_yes > 0 AND all_no > 0 ORDER BY yes_below * all_no + (all_no - no_below) * all_yes, abs(lim), lim LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN step >= (SELECT least FROM m) THEN 'allow' ELSE 'block' END) AS verdict, step
 FROM z
 """
