@@ -31,10 +31,16 @@ def nest_children(children: DataFrame, parent: str, order: Sequence[str], fields
 
 
 def assemble_documents(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
-    """Parents with each nested child list of part 0 attached; further parts stay rows of their own table."""
+    """Parents with each nested child list attached whole: all parts, in order.
+
+    A document is one row, so its children end up together; work on very long child lists belongs
+    on the parts of ``nest_children``.
+    """
     out = parents
     for name, nested in children.items():
-        out = out.join(nested.filter("part = 0").select(F.col(key), F.col("items").alias(name)), key, "left")
+        parts = F.array_sort(F.collect_list(F.struct("part", "items")))
+        whole = nested.groupBy(key).agg(F.flatten(F.transform(parts, lambda p: p["items"])).alias(name))
+        out = out.join(whole, key, "left")
     return out
 
 

@@ -44,13 +44,14 @@ def word_runs(text: Column, longest: int) -> Column:
     return F.array_distinct(runs)
 
 
-def link_aliases(names: DataFrame, aliases: DataFrame, longest: int = 6) -> DataFrame:
+def link_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Best alias of each distinct ``name``: exact first, then longest, then rule order.
 
     A phrase contained in a name is one of the name's word runs, so containment becomes
     an equi-join on the run.  The best hit is an aggregate with map-side combine.
-    ``longest`` is the longest alias in words.
+    The longest run is the longest alias of the (reviewed) table, in words.
     """
+    longest = aliases.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()[0]
     folded = names.select("name").distinct().withColumn("original", fold_text(F.col("name"))).withColumn(
         "clean", strip_preparation(F.col("original")))
     runs = F.array_union(word_runs(F.col("clean"), longest), F.array("original", "clean"))
@@ -71,7 +72,7 @@ def link_aliases(names: DataFrame, aliases: DataFrame, longest: int = 6) -> Data
         "name", "original", "clean", "rule_id", "basis", "alias", "exact",
         F.coalesce(left, F.lit("")).alias("leftover"),
         F.when(F.col("rule_id").isNotNull(), doubtful | swapped | canned).alias("uncertain"),
-        constraint_signature(F.col("original")).alias("signature"),
+        constraint_signature(F.col("original"), F.col("name")).alias("signature"),
     )
 
 
@@ -103,14 +104,14 @@ CONSTRAINT_WORDS = (
 )
 
 
-def constraint_signature(original: Column) -> Column:
-    """The constraining words of a folded name, in a fixed order, with its percentage.
+def constraint_signature(original: Column, raw: Column) -> Column:
+    """The constraining words of a folded name, in a fixed order, with the percentage of the name as written.
 
-    Names with the same rule and signature accept exactly the same products, and there are
+    Folding drops the decimal point, so the percentage must come from the raw name.  Names with the same rule and signature accept exactly the same products, and there are
     few signatures however many names there are.
     """
     words = F.array(*[F.when(original.rlike(pattern), F.lit(word)) for word, pattern in CONSTRAINT_WORDS],
-                    F.nullif(F.regexp_extract(original, r"\d+(?:\.\d+)?%", 0), F.lit("")))
+                    F.nullif(F.regexp_extract(raw, r"\d+(?:\.\d+)?%", 0), F.lit("")))
     return F.array_join(F.filter(words, lambda w: w.isNotNull()), " ")
 
 

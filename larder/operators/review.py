@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
+from ..functions.text import accent_table
 from .batching import compact_parts, fixed_batches
 from .linking import CANDIDATES_KEPT, rank_candidates
 from .versions import classify_delta, latest_per_key
@@ -15,23 +16,24 @@ BATCH_SIZE = 25
 
 #: Store category labels to matcher families (fixed values).
 CATEGORY_FAMILIES = (
-    ("fryst", r"\b(?:fryst|frysta|frozen|frys|glass|isglass)\b"),
-    ("kott", r"\b(?:kyckling|fagel|not|kalv|lamm|kott|korv|bacon|skinka|flask|vilt|kottbullar)\b"),
-    ("fisk", r"\b(?:fisk|lax|tonfisk|torsk|sill|ansjovis|rakor|skaldjur|kraftor|caviar)\b"),
-    ("mejeri", r"\b(?:mjolk|mjol|ost|cheddar|brie|feta|gouda|yoghurt|fil|gradde|smor|margarin|agg|jaste? ost|dessertost|kvarg|keso)\b"),
-    ("dryck", r"\b(?:juice|dryck|dricka|must|soda|lask|kaffe|te|vin|ol|water)\b"),
-    ("frukt", r"\b(?:frukt|bar|ananas|banan|citrus|druvor|kiwi|mango|melon|paron|apple|avokado|blomkal|broccoli|bonor|gronsaker|"
-              r"gurka|kal|lok|morotter|paprika|potatis|sallad|svamp|tomat|zucchini|aubergine|sparris|selleri|rotfrukt|groddar|orter|"
-              r"kryddor|oliver|citron|lime|ingefara)\b"),
-    ("skafferi", r"\b(?:mjol|myol|socker|pasta|ris|gryner|baljvaxter|konserv|senap|sas|krydda|bakning|baking|olja|vinager|ketchup|"
-                 r"sylt|honung|sirap|choklad|kakao|notter|fro|brod|spannmal|skafferi|kex|knackebrod|nudlar|buljong)\b"),
+    (r"\b(?:fryst|frysta|frozen|frys|glass|isglass)\b", "fryst"),
+    (r"\b(?:kyckling|fagel|not|kalv|lamm|kott|korv|bacon|skinka|flask|vilt|kottbullar)\b", "kott"),
+    (r"\b(?:fisk|lax|tonfisk|torsk|sill|ansjovis|rakor|skaldjur|kraftor|caviar)\b", "fisk"),
+    (r"\b(?:mjolk|mjol|ost|cheddar|brie|feta|gouda|yoghurt|fil|gradde|smor|margarin|agg|jaste? ost|dessertost|kvarg|keso)\b", "mejeri"),
+    (r"\b(?:juice|dryck|dricka|must|soda|läsk|kaffe|te|vin|ol|water)\b", "dryck"),
+    (r"\b(?:frukt|bar|ananas|banan|citrus|druvor|kiwi|mango|melon|p[aä]ron|[aä]pple|avokado|blomk[aå]l|broccoli|b[oö]nor|gr[oö]nsaker|gurka|k[aå]l|l[oö]k|mor[oö]tter|paprika|potatis|sallad|svamp|tomat|zucchini|aubergine|sparris|selleri|rotfrukt|groddar|[oö]rter|kryddor|oliver|citron|lime|ingef[aä]ra)\b", "frukt"),
+    (r"\b(?:m[jy]ol|socker|pasta|ris|gryner|baljv[aä]xter|konserv|senap|s[aå]s|krydda|bakning|baking|mj[oö]l|olja|vin[aä]ger|ketchup|sylt|honung|sirap|choklad|kakao|n[oö]tter|fr[oö]|br[oö]d|spannm[aå]l|skafferi|kex|kn[aä]ckebr[oö]d|nudlar|buljong)\b", "skafferi"),
 )
+#: A shared parent of meat and fish cans, whose first word must not make fish meat (fixed values).
+SHARED_CANS, SHARED_CANS_LABEL = r"\bkott\s*(?:&|och)\s*fiskkonserver\b", r"(?i)kött\s*(?:&|och)\s*fiskkonserver"
 
 
-def category_families(folded_label: Column) -> Column:
-    """Matcher families of a folded store category label (several may apply)."""
-    hits = F.array(*[F.when(folded_label.rlike(pattern), F.lit(family)) for family, pattern in CATEGORY_FAMILIES])
-    return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
+def category_families(label: Column) -> Column:
+    """Matcher families of a store category label as written (several may apply), then the label itself; empty if none applies."""
+    lowered = F.regexp_replace(F.lower(F.translate(label, *accent_table())), SHARED_CANS, " ")
+    hits = F.filter(F.array(*[F.when(lowered.rlike(pattern), F.lit(family)) for pattern, family in CATEGORY_FAMILIES]), lambda x: x.isNotNull())
+    safe = F.array(F.regexp_replace(label, SHARED_CANS_LABEL, "fiskkonserver"))
+    return F.when(F.size(hits) > 0, F.array_distinct(F.concat(hits, safe))).otherwise(F.array().cast("array<string>"))
 
 
 def matcher_rows(observations: DataFrame) -> DataFrame:

@@ -102,10 +102,11 @@ def basket_line_totals(t: Tables):
 @query("reference_estimate", m.sql(_DEMANDS, _OPTIONS, body="""
 , pick AS (SELECT menu_id, arg_min(struct_pack(id := product_id, size := size, price := amount_ore + size * 10, q := quantity), struct_pack(c := CAST(ceil(quantity / size) AS BIGINT) * (amount_ore + size * 10), id := product_id)) AS b FROM opts GROUP BY menu_id, ingredient_id),
 need AS (SELECT menu_id, b.id, b.size AS size, b.price AS price, sum(b.q) AS q FROM pick GROUP BY ALL)
-SELECT menu_id, CAST(sum(CAST(ceil(q / size) AS BIGINT) * price) AS BIGINT) AS reference_ore FROM need GROUP BY menu_id"""))
+SELECT menu_id, CASE WHEN NOT open THEN CAST((SELECT sum(CAST(ceil(q / size) AS BIGINT) * price) FROM need WHERE need.menu_id = x.menu_id) AS BIGINT) END AS reference_ore
+FROM (SELECT n.menu_id, bool_or(o.menu_id IS NULL) AS open FROM needs n LEFT JOIN (SELECT DISTINCT menu_id, ingredient_id FROM opts) o ON o.menu_id = n.menu_id AND o.ingredient_id = n.ingredient_id GROUP BY n.menu_id) x"""))
 def reference_estimate(t: Tables):
-    _, options, _ = _needs_and_options(t)
-    return b.reference_estimate(options)
+    needs, options, _ = _needs_and_options(t)
+    return b.reference_estimate(options, needs)
 
 
 _BASKET = """unres AS (SELECT menu_id, ingredient_id FROM needs WHERE reason IS NOT NULL UNION ALL SELECT menu_id, ingredient_id FROM failed),
@@ -205,12 +206,14 @@ def tracked_products(t: Tables):
 
 @query("finalist_pricing", m.sql(_DEMANDS, _OPTIONS, _COVER, _BASKET, body="""
 , pick AS (SELECT menu_id, arg_min(struct_pack(id := product_id, size := size, price := amount_ore + size * 10, q := quantity), struct_pack(c := CAST(ceil(quantity / size) AS BIGINT) * (amount_ore + size * 10), id := product_id)) AS b FROM opts GROUP BY menu_id, ingredient_id),
-need AS (SELECT menu_id, b.id, b.size AS size, b.price AS price, sum(b.q) AS q FROM pick GROUP BY ALL), ref AS (SELECT menu_id, CAST(sum(CAST(ceil(q / size) AS BIGINT) * price) AS BIGINT) AS reference_ore FROM need GROUP BY menu_id),
+need AS (SELECT menu_id, b.id, b.size AS size, b.price AS price, sum(b.q) AS q FROM pick GROUP BY ALL), refk AS (SELECT menu_id, CAST(sum(CAST(ceil(q / size) AS BIGINT) * price) AS BIGINT) AS known_ore FROM need GROUP BY menu_id),
+refs AS (SELECT n.menu_id, bool_or(o.menu_id IS NULL) AS open FROM needs n LEFT JOIN (SELECT DISTINCT menu_id, ingredient_id FROM opts) o ON o.menu_id = n.menu_id AND o.ingredient_id = n.ingredient_id GROUP BY n.menu_id),
+ref AS (SELECT menu_id, CASE WHEN NOT open THEN known_ore END AS reference_ore FROM refs LEFT JOIN refk USING (menu_id)),
 f AS (SELECT *, complete AND known <= budget_ore AS feasible FROM priced),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY feasible DESC, CASE WHEN feasible THEN known END NULLS LAST, menu_id) AS position FROM f)
 SELECT request_id, menu_id, reference_ore, CASE WHEN complete THEN known END AS purchase_ore, feasible AND position = 1 AS selected FROM rk LEFT JOIN ref USING (menu_id)"""))
 def finalist_pricing(t: Tables):
-    _, options, _ = _needs_and_options(t)
-    estimates = b.reference_estimate(options)
+    needs, options, _ = _needs_and_options(t)
+    estimates = b.reference_estimate(options, needs)
     ranked = b.rank_menus(_optimised(t).join(t.customer.select(F.col("c_custkey").alias("menu_id"), F.col("c_nationkey").alias("request_id")), "menu_id"))
     return ranked.join(estimates, "menu_id", "left").select("request_id", "menu_id", "reference_ore", "purchase_ore", "selected")

@@ -45,7 +45,7 @@ def requirements(t: Tables):
 
 
 def _links(t: Tables):
-    return link.link_aliases(requirements(t), link.alias_table(t.spark, RULES), longest=2)
+    return link.link_aliases(requirements(t), link.alias_table(t.spark, RULES))
 
 
 @query("alias_link", m.sql(_NAMES, _LINKED, body="SELECT name, clean, rule_id, basis, alias, exact, leftover, uncertain FROM links"))

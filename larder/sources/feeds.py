@@ -128,11 +128,11 @@ def retail_observations(df: DataFrame, column: str, scope: str, checked_at: Colu
         cal.reference_expiry(checked_at, F.col("__promo.ends")).alias("expires_at"), verified.alias("store_scope_verified"))
 
 
-def category_closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def category_closure(edges: DataFrame) -> DataFrame:
     """(root, node, depth, cyclic) for every ancestor pair of an edge table (parent, child).
 
-    A bounded frontier loop; the frontier stops when it is empty.  A node that meets itself on
-    its path is reported as ``cyclic`` and not followed further.
+    A frontier loop of any depth; it ends when the frontier is empty.  A node that meets itself on
+    its path is reported as ``cyclic`` and not followed further, so the loop always ends.
     """
     from ..session import cut_lineage
 
@@ -140,16 +140,16 @@ def category_closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     side = edges
     frontier = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"),
                             F.array("parent", "child").alias("path"), (F.col("parent") == F.col("child")).alias("cyclic"))
-    found = frontier
-    for depth in range(2, max_depth + 1):
+    found, depth = frontier, 1
+    while True:
+        depth += 1
         step = frontier.filter(~F.col("cyclic")).join(side, F.col("node") == F.col("parent")).select(
             "root", F.col("child").alias("node"), F.lit(depth).alias("depth"),
             F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
         frontier = cut_lineage(step)
-        if not frontier.limit(1).count():
-            break
+        if frontier.isEmpty():
+            return found.drop("path")
         found = found.unionByName(frontier)
-    return found.drop("path")
 
 
 def leaf_nodes(edges: DataFrame) -> DataFrame:

@@ -96,14 +96,13 @@ def pending_parts(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def load_progress(parts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows loaded: finished parts by their declared count, open parts by a key-range count.
+    """Rows loaded: finished parts by their declared count, open parts by the rows inside their own key ranges.
 
-    parts (part, rows, first_id, last_id, finished).
+    parts (part, rows, first_id, last_id, finished): a manifest of a few rows, which the range join broadcasts.
     """
     finished = parts.filter("finished").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("done"))
     open_parts = parts.filter(~F.col("finished")).select("first_id", "last_id")
-    bounds = open_parts.agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).first()
-    counted = rows.filter(F.col(key).between(bounds["lo"], bounds["hi"])) if bounds["lo"] is not None else rows.limit(0)
+    counted = rows.select(F.col(key).alias("__k")).join(open_parts, F.col("__k").between(F.col("first_id"), F.col("last_id")), "left_semi")
     from ..operators.quality import side_by_side
 
     both = side_by_side(finished, counted.agg(F.count(F.lit(1)).alias("open_rows")))

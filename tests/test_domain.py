@@ -22,7 +22,7 @@ def products(spark):
 
 def test_alias_choice_and_uncertainty(spark):
     names = spark.createDataFrame([("Yellow Onion, chopped",), ("fresh garlic",), ("dried garlic",), ("garlic powder",), ("odd onion",), ("stone",), ("cooked onion",)], "name string")
-    got = {x.name: (x.rule_id, x.uncertain) for x in link.link_aliases(names, link.alias_table(spark, RULES), 3).collect()}
+    got = {x.name: (x.rule_id, x.uncertain) for x in link.link_aliases(names, link.alias_table(spark, RULES)).collect()}
     assert got == {"Yellow Onion, chopped": ("onion", False), "fresh garlic": ("garlic", False), "dried garlic": ("garlic", True), "garlic powder": ("garlic-powder", False),
                    "odd onion": ("onion", True), "stone": (None, None), "cooked onion": ("onion", True)}
 
@@ -31,7 +31,7 @@ def test_pools_and_statuses(spark):
     pools = link.rule_pools(products(spark), RULES)
     assert sorted((x.rule_id, x.code) for x in pools.collect()) == [("garlic", "3"), ("garlic-powder", "4"), ("onion", "1"), ("onion", "2")]
     wanted = spark.createDataFrame([("onion", 5), ("milk", 2), ("bacon", 1), ("hot water", 9), ("stone", 1)], "name string, occurrences bigint")
-    links = link.link_aliases(wanted, link.alias_table(spark, RULES), 3)
+    links = link.link_aliases(wanted, link.alias_table(spark, RULES))
     goods = link.rule_pools(products(spark).withColumn("raw_title", F.col("title")).withColumn("brand", F.lit(None).cast("string")), RULES, ("code", "title", "raw_title", "categories", "brand", "price"))
     pairs = link.pool_candidates(links, goods, ("code", "price")).select(
         *link.POOL, "code", F.lit(True).alias("eligible"), F.col("price").cast("double").alias("unit_price"))

@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from larder.plans.registry import spread
 from larder.sources import feeds, tables
 from larder.streaming import jobs
 
@@ -65,13 +64,6 @@ def test_category_cycle_is_reported(spark):
     assert {r.node for r in feeds.leaf_nodes(edges).collect()} == {"c"}
 
 
-def test_spread_leaves_wide_inputs_alone(spark, tmp_path):
-    spark.range(40).repartition(12).write.parquet(str(tmp_path / "many"))
-    spark.range(40).coalesce(1).write.parquet(str(tmp_path / "one"))
-    assert "Exchange" not in spread(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" in spread(spark.read.parquet(str(tmp_path / "one")))._jdf.queryExecution().executedPlan().toString()
-
-
 def _write_batches(spark, folder, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part{i:03d}")

@@ -25,7 +25,7 @@ def compare(spark, duck, name, query, sql, folder):
     got_columns, got = canonical(df.columns, [tuple(r) for r in df.collect()])
     spark_seconds = time.time() - start
     if sql is None:
-        return True, f"{len(got)} rows, no SQL, {spark_seconds:.1f}s"
+        return None, f"{len(got)} rows, no SQL to compare with, {spark_seconds:.1f}s"
     start = time.time()
     cursor = duck.execute(sql)
     want_columns, want = canonical([d[0] for d in cursor.description], cursor.fetchall())
@@ -62,8 +62,8 @@ def main():
             ok, note = compare(spark, duck, name, QUERIES[name], ORACLES.get(name), folder)
         except Exception as error:
             ok, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
-        print("ok  " if ok else "FAIL", name, note, flush=True)
-        if not ok:
+        print("none" if ok is None else "ok  " if ok else "FAIL", name, note, flush=True)
+        if ok is False:
             bad.append(name)
     print(f"{len(names) - len(bad)}/{len(names)} ok", *bad)
 
