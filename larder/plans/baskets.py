@@ -183,7 +183,7 @@ def coupled_cover(t: Tables):
     """Components that share products.  No SQL: an integer cover per component; checked against brute force in the tests."""
     _, coupled = b.split_coupled(coupled_options(t))
     labels = b.connected_components(coupled, "menu_id", "ingredient_id", "product_id")
-    covers = b.cover_coupled(coupled, labels, max_states=2000)
+    covers = b.cover_coupled(coupled, labels, max_states=10_000)
     return covers.select("menu_id", "component", F.col("cost").cast("bigint").alias("cost_ore"), F.size("packs").alias("products"), "optimization_complete")
 
 
