@@ -23,7 +23,7 @@ from .registry import query, table
 
 LENGTH = 2048
 DOCUMENTS_A_GROUP = 2048
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 
 class _Words(dict):
