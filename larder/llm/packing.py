@@ -2,7 +2,8 @@
 
 A document's ids are cut at multiples of the sequence length; only what remains needs company.  Pieces
 are dealt into random groups of a few thousand, so that groups are alike and the tree
-stays small, and every group is packed on its own.  A tree over the bins holds the largest
+stays small, and every group is packed on its own.  What a document gives to these groups is bounded; the further full
+sequences of long documents need no company and go to groups of 256, so a group's memory does not depend on the lengths.  A tree over the bins holds the largest
 room below each node: the first bin that fits is found by walking down, in a logarithm of the bins.
 Bins that stay emptier than ``slack`` are cut into power-of-two sequences, which need no padding.
 """
@@ -23,6 +24,9 @@ from .registry import query, table
 
 LENGTH = 2048
 DOCUMENTS_A_GROUP = 2048
+#: Full sequences that one group takes of a long document; what goes beyond is in groups of its own.
+FULL_A_GROUP = 8
+LONG_GROUP = 256
 CACHED_WORDS = 500_000
 
 
@@ -129,13 +133,14 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
 
 
 def tokenised(docs: DataFrame, groups: int, path: str, length: int, end_id: int, seed: int, doc_id: str, text: str) -> DataFrame:
-    """A row per piece: (doc_id, start, length, ids, doc_tokens, __group)."""
+    """A row per piece: (doc_id, start, length, ids, doc_tokens, __group).  Rows without an id, which may all be alike, are told apart by their place in a task."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, seen = encoder(path), 0
         for batch in batches:
             rows, starts, lengths, ids, whole = [], [], [], [], []
+            named = batch.column("doc_id").is_valid().to_pylist()
             for i, content in enumerate(batch.column("text").to_pylist()):
                 data = encode(content or "") + end
                 n = len(data) // 4
@@ -146,14 +151,20 @@ def tokenised(docs: DataFrame, groups: int, path: str, length: int, end_id: int,
                     lengths.append(len(piece) // 4)
                     ids.append(piece)
                     whole.append(n)
+            salt = pa.array([0 if named[i] else 1 + seen + i for i in rows], pa.int64())
+            seen += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(whole, pa.int64())],
-                names=["doc_id", "start", "length", "ids", "doc_tokens"])
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(whole, pa.int64()), salt],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "__salt"])
 
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
-    pieces = lean.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
-    return pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids")), F.lit(groups)))
+    pieces = lean.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, __salt long")
+    salt = F.when(F.col("__salt") > 0, F.struct(F.spark_partition_id(), F.col("__salt")))
+    near = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", F.crc32("ids"), salt), F.lit(groups))
+    # The number of a group has 31 bits; two long groups that share one are packed together.
+    far = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", salt, F.floor(F.col("start") / (length * LONG_GROUP))), F.lit(2**31 - groups)) + groups
+    return pieces.withColumn("__group", F.when((F.col("length") == length) & (F.col("start") >= length * FULL_A_GROUP), far).otherwise(near)).drop("__salt")
 
 
 def pack_group(pieces: pa.Table, length: int, slack: int) -> pa.Table:
