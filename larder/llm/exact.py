@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import WHITE
+from .common import PLACE, WHITE, keep_rows, row_name, with_place
 from .registry import query, table
 
 #: What makes two texts equal: the digest, and as proof a second hash and the length.
@@ -24,10 +24,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE + "+", "")
 
 
-def digest_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One slim row per document: its run, row number, digest with proof, and rank among its copies."""
     lean = docs.select(
-        F.col(doc_id).alias("doc_id"), F.spark_partition_id().alias("__run"), F.monotonically_increasing_id().alias("__row"),
+        F.col(doc_id).alias("doc_id"), F.spark_partition_id().alias("__run"), row_name(row).alias("__row"),
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("__chars"), normalised(F.col(text)).alias("__text"))
     return lean.select(
         "doc_id", "__run", "__row", "__chars", F.unhex(F.sha2(F.col("__text"), 256)).alias("__digest"),
@@ -45,16 +45,15 @@ def merge_runs(digests: DataFrame, runs: int, bits: int = 3) -> DataFrame:
     return level.drop("__run")
 
 
-def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
-    """Per document: ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; also ``__row``, its row number.
+def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3, row: str | None = None) -> DataFrame:
+    """Per document: ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``; also ``__row``, the column ``row`` or a number of this read.
 
     Texts are equal when they agree without white space.  Of equal texts the longest original
     stays, then the smallest id.  Null text is empty text; empty texts are equal to one another.  A
     null id ranks last.  Of fully repeated rows exactly one is kept.  No input gives no rows, and
-    columns besides the two named ones are not read.  ``docs`` must be a table, so that its
-    row order does not change between reads.
+    columns besides the named ones are not read.
     """
-    digests = cut_lineage(digest_rows(docs, doc_id, text))
+    digests = cut_lineage(digest_rows(docs, doc_id, text, row))
     groups = merge_runs(digests, digests.rdd.getNumPartitions(), bits)
     return digests.join(groups, SAME).select(
         "doc_id", F.col("__best.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.row")).alias("kept"),
@@ -63,8 +62,8 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bit
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns."""
-    kept = mark_copies(docs, doc_id, text).filter("kept").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    placed = with_place(docs)
+    return keep_rows(placed, mark_copies(placed, doc_id, text, row=PLACE).filter("kept").select("__row"))
 
 
 SQL = r"""

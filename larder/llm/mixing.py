@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.batching import with_running_sum
 from ..session import cut_lineage
-from .common import NOT_WHITE
+from .common import NOT_WHITE, PLACE, row_name, with_place
 from .registry import query, table
 
 WEIGHTS = (5, 2, 1)
@@ -56,17 +56,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = 1.5,
-        most: float = 2.0, seed: int = 7, quality=quality_weight) -> DataFrame:
-    """Per document: size, its source's size and target, and ``taken``, the words that the mix takes (repeats counted); also ``__row``.
+        most: float = 2.0, seed: int = 7, quality=quality_weight, row: str | None = None) -> DataFrame:
+    """Per document: size, its source's size and target, and ``taken``, the words that the mix takes (repeats counted); also ``__row``, the column ``row`` or a number of this read.
 
     Null or blank text has size 0 and nothing is taken.  Null is a source like any other.  A document without
     id draws its key by its text.  Rows with equal keys follow in id order; fully repeated rows are interchangeable.
-    No input gives no rows; other columns are not read.  ``docs`` must be a table (stable row order).
+    No input gives no rows; other columns are not read.
     """
     lean = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.length(F.col(text)).alias("__chars"),
         F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("__name"),
-        F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+        row_name(row).alias("__row"), F.col(text).alias("__text"))
     lean = lean.withColumn("__q", quality(F.col("__text"), F.col("size")))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__name")).cast("binary")), 1, 13), 16, 10).cast("long")
     lean = lean.withColumn("__key", -F.log((draw + 0.5) / float(2**52)) / F.col("__q"))
@@ -85,9 +85,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, whole and repeated as often as taken; a part counts as whole from one half on."""
-    taken = mix(docs, **settings).filter("taken > 0").select("__row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken.filter("__times > 0"), "__row")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__row", "__times", "__copy")
+    placed = with_place(docs)
+    taken = mix(placed, row=PLACE, **settings).filter("taken > 0").select(F.col("__row").alias(PLACE), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times"))
+    rows = placed.join(taken.filter("__times > 0"), PLACE)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop(PLACE, "__times", "__copy")
 
 
 SQL = r"""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import doc_key
+from .common import PLACE, doc_key, keep_rows, row_name, with_place
 from .registry import query, table
 
 FEATURES = 256
@@ -50,7 +50,7 @@ def statistics(text: bytes) -> list[float]:
         sum(w[:1].isupper() for w in words) / n]
 
 
-def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """(doc_id, fold_key, __row, stats)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +60,9 @@ def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 [*(batch.column(c) for c in ("doc_id", "fold_key", "__row")), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "fold_key", "__row", "stats"])
 
     lean = docs.select(
-        F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id)).alias("fold_key"), F.monotonically_increasing_id().alias("__row"), F.col(text).cast("binary").alias("text"))
-    return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, fold_key long, __row long, stats array<double>")
+        F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id)).alias("fold_key"), row_name(row).alias("__row"), F.col(text).cast("binary").alias("text"))
+    kind = {c: lean.schema[c].dataType.simpleString() for c in ("doc_id", "__row")}
+    return lean.mapInArrow(run, f"doc_id {kind['doc_id']}, fold_key long, __row {kind['__row']}, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -154,13 +155,13 @@ def fit(stats: DataFrame, labels: DataFrame, seed: int = 3) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lowest: float = LOWEST) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (1 from ``lowest`` on); also ``__row``.
+def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lowest: float = LOWEST, row: str | None = None) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted (1 from ``lowest`` on); also ``__row``, the column ``row`` or a number of this read.
 
     Null text counts as empty and is scored like any text; documents with a null id are scored and never teach;
     repeated rows score alike.  No input gives no rows; other columns are not read.
     """
-    stats = cut_lineage(with_statistics(docs, doc_id, text))
+    stats = cut_lineage(with_statistics(docs, doc_id, text, row))
     model = fit(stats, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +169,16 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             score = pa.array(model.score(_matrix(batch.column("stats"))), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold_key"), batch.column("__row"), score], names=["doc_id", "fold_key", "__row", "score"])
 
-    rows = stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, fold_key long, __row long, score double")
+    kind = {c: stats.schema[c].dataType.simpleString() for c in ("doc_id", "__row")}
+    rows = stats.mapInArrow(run, f"doc_id {kind['doc_id']}, fold_key long, __row {kind['__row']}, score double")
     return rows.select("doc_id", (F.col("fold_key") % 5 == 0).alias("held_out"), "score", (F.col("score") >= lowest).cast("int").alias("predicted"), "__row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, lowest: float = LOWEST) -> DataFrame:
     """The documents that are not rejected, with their own columns; ``labels`` is (doc_id, quality, ...)."""
-    good = scored(docs, labels.select("doc_id", F.col("quality").alias("label")), lowest=lowest).filter("predicted = 1").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(good, "__row", "left_semi").drop("__row")
+    placed = with_place(docs)
+    truth = labels.select("doc_id", F.col("quality").alias("label"))
+    return keep_rows(placed, scored(placed, truth, lowest=lowest, row=PLACE).filter("predicted = 1").select("__row"))
 
 
 @query("op6_fourier_quality")

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
+from .common import PLACE, keep_rows, row_name, with_place
 from .graph import components
 from .registry import query, table
 
@@ -58,7 +59,7 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, row: str | None = None) -> DataFrame:
     """(doc_id, __row, fp): the fingerprint as a signed long.  Null text counts as empty; no words give 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +67,9 @@ def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             prints = [_signed(fingerprint(t or b"", words)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__row"), pa.array(prints, pa.int64())], names=["doc_id", "__row", "fp"])
 
-    lean = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("__row"), F.col(text).cast("binary").alias("text"))
-    kind = lean.schema["doc_id"].dataType.simpleString()
-    return lean.mapInArrow(run, f"doc_id {kind}, __row long, fp long")
+    lean = docs.select(F.col(doc_id).alias("doc_id"), row_name(row).alias("__row"), F.col(text).cast("binary").alias("text"))
+    kind = {c: lean.schema[c].dataType.simpleString() for c in ("doc_id", "__row")}
+    return lean.mapInArrow(run, f"doc_id {kind['doc_id']}, __row {kind['__row']}, fp long")
 
 
 def pivot_row(fp: Column) -> list[Column]:
@@ -179,14 +180,14 @@ def near_links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, limit: int = LIMIT) -> DataFrame:
-    """Per document: ``fp``, ``component_id`` (smallest id reachable over links of at most 3 bits), ``group`` and ``__row``.
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, limit: int = LIMIT, row: str | None = None) -> DataFrame:
+    """Per document: ``fp``, ``component_id`` (smallest id reachable over links of at most 3 bits), ``group`` and ``__row`` (the column ``row`` or a number of this read).
 
     Documents without words share fingerprint 0 and link like any other; null text is empty text.  A null id
     never is the smallest unless a component has no other.  Repeated rows share a fingerprint.  No input gives no
-    rows; other columns are not read.  ``docs`` must be a table (stable row order).
+    rows; other columns are not read.
     """
-    marked = cut_lineage(with_fingerprint(docs, doc_id, text, words))
+    marked = cut_lineage(with_fingerprint(docs, doc_id, text, words, row))
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(prints, limit)).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
@@ -197,8 +198,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns."""
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = near_groups(docs, doc_id, text, words).groupBy("group").agg(best.alias("best")).select("best.__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    placed = with_place(docs)
+    return keep_rows(placed, near_groups(placed, doc_id, text, words, row=PLACE).groupBy("group").agg(best.alias("best")).select("best.__row"))
 
 
 @query("op7_simhash_near_dedup")

@@ -5,10 +5,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from larder.llm import exact, mixing, packing, sharding, simhash
+from larder.llm.common import PLACE, with_place
 from larder.llm.graph import components
 
 WHITE = " \t\n\x0b\f\r"
@@ -251,3 +254,42 @@ def test_empty_tables(nothing, run):
 def test_mix_reruns_agree(odd):
     lean = lambda rows: Counter((r.doc_id, r.source, r.taken) for r in rows if r.doc_id is not None)
     assert lean(mixing.mix(odd).collect()) == lean(mixing.mix(odd.repartition(5)).collect())
+
+
+def test_places_do_not_depend_on_the_cut_into_tasks(spark, odd, tmp_path):
+    odd.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    first = {(r.doc_id, r.text, r[PLACE]) for r in with_place(docs).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        again = with_place(spark.read.parquet(str(tmp_path / "docs")))
+        assert {(r.doc_id, r.text, r[PLACE]) for r in again.collect()} == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r[2] for r in first}) == len(first) == docs.count()
+
+
+def test_places_of_what_is_no_plain_table(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    twice = docs.union(docs)
+    assert with_place(twice).select(PLACE).distinct().count() == twice.count()
+    named = docs.withColumn("_metadata", F.lit("mine")).withColumn(PLACE, F.lit("mine"))
+    assert with_place(named).select(PLACE).distinct().count() == docs.count()
+    assert exact.drop_copies(named.drop(PLACE)).columns == named.drop(PLACE).columns
+    assert exact.drop_copies(docs).columns == docs.columns
+    assert exact.drop_copies(docs).count() == exact.drop_copies(odd).count() == exact.mark_copies(odd).filter("kept").count()
+
+
+def test_packing_groups_are_bounded(spark):
+    text = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(i if i % 2 else None, text if i < 12 else "same words again") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pieces = packing.tokenised(docs, 10, public_tokenizers.path("byte_bpe_50k.json"), 64, 1, 3, "doc_id", "text")
+    sizes = {r["__group"]: r["count"] for r in pieces.groupBy("__group").count().collect()}
+    assert len([g for g in sizes if g >= 10]) > 12  # the long documents, in chunks
+    assert max(n for g, n in sizes.items() if g >= 10) <= packing.LONG_GROUP
+    assert max(n for g, n in sizes.items() if g < 10) < 600  # also the many equal rows without an id are spread
+    packed = packing.packed(docs, length=64).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n"))
+    assert {(r.doc_id, r.n) for r in packed.collect() if r.doc_id is not None} == {(r.doc_id, r.doc_tokens) for r in packed.collect() if r.doc_id is not None}
