@@ -19,15 +19,26 @@ def approved_by(t: Tables, label, keep: int):
     return top.groupBy("ingredient_id").agg(F.array_sort(F.collect_list("product_id")).alias("approved"))
 
 
+def lot(size: int, shift: int = 0):
+    """Runs of ``size`` neighbouring part keys, so that ingredients grow with the parts and every part is approved by one."""
+    return F.expr(f"(p_partkey + {shift}) DIV {size}").cast("string")
+
+
+def approved_in(t: Tables, label):
+    """All parts under each label; the label bounds their number."""
+    return t.part.groupBy(label.alias("ingredient_id")).agg(F.array_sort(F.collect_list("p_partkey")).alias("approved"))
+
+
 def demands(t: Tables):
-    """Order lines as needs for a part name; odd lines approve three products, even lines two."""
+    """Order lines as needs for a lot of three parts; odd lines approve all three products, even lines the first two."""
+    label = F.concat(F.lit("lot "), lot(3))
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     rows = lines.select(
-        F.col("o_custkey").alias("menu_id"), F.col("p_name").alias("ingredient_id"), F.col("p_name").alias("name"),
+        F.col("o_custkey").alias("menu_id"), label.alias("ingredient_id"), F.col("p_name").alias("name"),
         F.when(~((F.col("l_tax") == 0.08) & (F.col("l_discount") == 0.1)), F.col("l_quantity")).alias("quantity"),
         F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "g").otherwise("piece").alias("unit"),
         (F.col("p_name") == "hot plate").alias("non_purchased"), (F.col("l_linenumber") % 2 == 0).alias("even"))
-    joined = rows.join(approved_by(t, F.col("p_name"), 3), "ingredient_id")
+    joined = rows.join(approved_in(t, label), "ingredient_id")
     return joined.withColumn("approved", F.when(F.col("even"), F.slice("approved", 1, 2)).otherwise(F.col("approved"))).drop("even")
 
 
@@ -45,8 +56,8 @@ def failure():
                                   F.lit(None).cast("string"), F.col("basis"), pack, F.col("unit"), now())
 
 
-_DEMANDS = """appr AS (SELECT p_name AS ingredient_id, p_partkey AS product_id, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 3),
-dem AS (SELECT o_custkey AS menu_id, p_name AS ingredient_id, CASE WHEN NOT (l_tax = 0.08 AND l_discount = 0.1) THEN l_quantity END AS quantity,
+_DEMANDS = """appr AS (SELECT 'lot ' || (p_partkey // 3) AS ingredient_id, p_partkey AS product_id, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) AS rk FROM part),
+dem AS (SELECT o_custkey AS menu_id, 'lot ' || (p_partkey // 3) AS ingredient_id, CASE WHEN NOT (l_tax = 0.08 AND l_discount = 0.1) THEN l_quantity END AS quantity,
   CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'g' ELSE 'piece' END AS unit, l_linenumber % 2 = 0 AS even FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_name <> 'hot plate'),
 needs AS (SELECT menu_id, ingredient_id, sum(quantity) AS quantity, min(unit) AS unit, bool_or(even) AS any_even,
   CASE WHEN min(unit) <> max(unit) THEN 'incompatible_or_unknown_quantity_unit' WHEN count(*) FILTER (quantity IS NULL) > 0 THEN 'quantity_unknown_or_invalid' END AS reason FROM dem GROUP BY ALL)"""
@@ -145,27 +156,24 @@ def equivalent_demands(t: Tables):
     return b.merge_equal_needs(shared).groupBy("menu_id", "ingredient_id").agg(F.first("quantity").alias("quantity"), F.first("merged").alias("merged"))
 
 
-_COUPLED = """lab AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_name FROM part),
-ap AS (SELECT 'a ' || adj AS ingredient_id, p_partkey AS product_id FROM lab QUALIFY row_number() OVER (PARTITION BY adj ORDER BY p_partkey) <= 2
-  UNION ALL SELECT 'n ' || noun, p_partkey FROM lab QUALIFY row_number() OVER (PARTITION BY noun ORDER BY p_partkey) <= 2
-  UNION ALL SELECT 'p ' || p_name, p_partkey FROM lab QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) <= 1),
-nd AS (SELECT DISTINCT o_custkey AS menu_id, CASE l_linenumber % 3 WHEN 0 THEN 'n ' || noun WHEN 1 THEN 'a ' || adj ELSE 'p ' || p_name END AS ingredient_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN lab ON l_partkey = p_partkey),
+_COUPLED = """lab AS (SELECT p_partkey, 'n ' || (p_partkey // 3) AS noun, 'a ' || ((p_partkey + 1) // 2) AS adj, 'p ' || p_partkey AS one FROM part),
+ap AS (SELECT adj AS ingredient_id, p_partkey AS product_id FROM lab UNION ALL SELECT noun, p_partkey FROM lab UNION ALL SELECT one, p_partkey FROM lab),
+nd AS (SELECT DISTINCT o_custkey AS menu_id, CASE l_linenumber % 3 WHEN 0 THEN noun WHEN 1 THEN adj ELSE one END AS ingredient_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN lab ON l_partkey = p_partkey),
 edges AS (SELECT menu_id, ingredient_id, product_id FROM nd JOIN ap USING (ingredient_id)),
 links AS (SELECT DISTINCT a.menu_id, a.ingredient_id AS x, b.ingredient_id AS y FROM edges a JOIN edges b USING (menu_id, product_id)),
 reach AS (SELECT menu_id, x, y FROM links UNION SELECT r.menu_id, r.x, l.y FROM reach r JOIN links l ON l.menu_id = r.menu_id AND l.x = r.y)"""
 
 
 def coupled_options(t: Tables):
-    """Needs for an adjective, a noun or a full name, whose products overlap."""
-    word = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
-    labels = {0: (F.concat(F.lit("n "), word(2)), 2), 1: (F.concat(F.lit("a "), word(1)), 2), 2: (F.concat(F.lit("p "), F.col("p_name")), 1)}
+    """Needs for a lot of three, two or one parts, whose products overlap."""
+    labels = [F.concat(F.lit("n "), lot(3)), F.concat(F.lit("a "), lot(2, 1)), F.concat(F.lit("p "), lot(1))]
     approved = None
-    for label, keep in labels.values():
-        part = approved_by(t, label, keep)
+    for label in labels:
+        part = approved_in(t, label)
         approved = part if approved is None else approved.unionByName(part)
     kind = F.col("l_linenumber") % 3
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("o_custkey").alias("menu_id"), F.when(kind == 0, labels[0][0]).when(kind == 1, labels[1][0]).otherwise(labels[2][0]).alias("ingredient_id"), F.col("l_quantity").alias("quantity"))
+        F.col("o_custkey").alias("menu_id"), F.when(kind == 0, labels[0]).when(kind == 1, labels[1]).otherwise(labels[2]).alias("ingredient_id"), F.col("l_quantity").alias("quantity"))
     needs = lines.groupBy("menu_id", "ingredient_id").agg(F.sum("quantity").alias("quantity"))
     goods = t.part.select(F.col("p_partkey").alias("product_id"), F.lit("pack").alias("basis"), m.list_price_ore().alias("amount_ore"),
                           (F.col("p_size") * 10).cast("bigint").alias("deposit_ore"), F.col("p_size").cast("double").alias("pack_quantity"))
