@@ -9,7 +9,7 @@ from ..functions.text import fold_text
 from ..operators import quality, retail as rt, review as rv
 from ..sources import feeds
 from . import mapping as m
-from .baskets import approved_by
+from .baskets import approved_by, lot
 from .quotes import NOW, now
 from .registry import Tables, query
 
@@ -43,10 +43,20 @@ def retail_feed_scan(t: Tables):
                       "amount_ore", "basis", "availability")
 
 
+def lots(t: Tables):
+    """Lots of three parts: ``ingredient_id`` is the name of the first part with the number of the lot."""
+    key = F.col("p_partkey")
+    rows = t.part.groupBy(lot(3).alias("lot")).agg(F.min_by("p_name", key).alias("name"), F.array_sort(F.collect_list(key)).alias("approved"))
+    return rows.select(F.concat_ws(" ", "name", "lot").alias("ingredient_id"), "approved")
+
+
+_LOTS = "(SELECT *, first_value(p_name) OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) || ' ' || (p_partkey // 3) AS lot FROM part)"
+
+
 def connections(t: Tables):
-    """A reviewed connection per part name: the three lowest parts, the lowest one as main product."""
+    """A reviewed connection per lot of three parts, so that every part is connected; the lowest one is the main product."""
     goods = packages(t).select("product_id", "identity")
-    long = approved_by(t, F.col("p_name"), 3).select("ingredient_id", F.explode("approved").alias("product_id")).join(goods, "product_id")
+    long = lots(t).select("ingredient_id", F.explode("approved").alias("product_id")).join(goods, "product_id")
     broken = F.when(F.col("product_id") % 11 == 0, F.lit("{}")).otherwise(F.col("identity"))
     rows = long.groupBy("ingredient_id").agg(
         F.array_sort(F.collect_list(F.struct("product_id", broken.alias("identity")))).alias("approved"), F.min("product_id").alias("main_product_id"))
@@ -69,8 +79,8 @@ def _usable():
     return pricing.observation_usable(F.lit(True), F.col("availability"), F.col("checked_at"), F.col("expires_at"), F.col("amount_ore"), F.lit(False), F.col("minimum"), none, none, now())
 
 
-_CONN = """conn AS (SELECT p_name AS ingredient_id, p_partkey AS product_id, min(p_partkey) OVER (PARTITION BY p_name) AS main, p_size, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS price,
-  CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'piece' END AS unit, p_name LIKE 'new %' AS closed, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 3),
+_CONN = f"""conn AS (SELECT lot AS ingredient_id, p_partkey AS product_id, min(p_partkey) OVER (PARTITION BY lot) AS main, p_size, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS price,
+  CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE 'piece' END AS unit, lot LIKE 'new %' AS closed FROM {_LOTS}),
 okay AS (SELECT * FROM conn WHERE NOT closed AND product_id % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 10 <> 0)"""
 
 
@@ -171,8 +181,8 @@ def tracked_report(t: Tables):
     return rt.tracked_report(requested, packages(t), _usable(), now()).select("product_id", "fresh", "usable", "missing")
 
 
-@query("local_id_mapping", """
-WITH c AS (SELECT p_name AS ingredient_id, p_partkey AS product_id, p_size, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 3),
+@query("local_id_mapping", f"""
+WITH c AS (SELECT lot AS ingredient_id, p_partkey AS product_id, p_size FROM {_LOTS}),
 x AS (SELECT *, product_id % 2 = 0 AS has_map, product_id % 2 = 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AND product_id % 11 <> 0 AS good FROM c WHERE ingredient_id NOT LIKE 'new %')
 SELECT ingredient_id, CASE WHEN good THEN 'local' || product_id ELSE CAST(product_id AS VARCHAR) END AS product_id, CASE WHEN has_map AND NOT good THEN 'unverified_local_mapping' END AS violation FROM x""")
 def local_id_mapping(t: Tables):
@@ -201,16 +211,16 @@ def observation_validity(t: Tables):
     return good.select("p_partkey", F.lit(None).cast("string").alias("violation")).unionByName(bad.select("p_partkey", "violation"))
 
 
-@query("connection_set_validity", """
-WITH c AS (SELECT p_name AS ingredient_id, p_partkey AS product_id, p_size, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 3),
+@query("connection_set_validity", f"""
+WITH c AS (SELECT lot AS ingredient_id, p_partkey AS product_id, p_size FROM {_LOTS}),
 x AS (SELECT ingredient_id, bool_or(product_id % 11 = 0) AS changed, ingredient_id LIKE 'new %' AS closed, ingredient_id LIKE 'old %' AS overfull, bool_or(p_size % 7 = 0) AS barred FROM c GROUP BY 1)
 SELECT ingredient_id, 'unmatched_connection_has_products' AS violation FROM x WHERE closed
-UNION ALL SELECT ingredient_id, 'invalid_connection_review' FROM x WHERE ingredient_id = 'hot rod' UNION ALL SELECT ingredient_id, 'non_purchased_requires_water' FROM x WHERE ingredient_id = 'red gear'
-UNION ALL SELECT ingredient_id, 'unmatched_connection_has_products' FROM x WHERE ingredient_id = 'red gear'
+UNION ALL SELECT ingredient_id, 'invalid_connection_review' FROM x WHERE ingredient_id LIKE 'hot rod %' UNION ALL SELECT ingredient_id, 'non_purchased_requires_water' FROM x WHERE ingredient_id LIKE 'red gear %'
+UNION ALL SELECT ingredient_id, 'unmatched_connection_has_products' FROM x WHERE ingredient_id LIKE 'red gear %'
 UNION ALL SELECT ingredient_id, 'invalid_approved_products' FROM x WHERE overfull UNION ALL SELECT ingredient_id, 'connection_product_not_permitted' FROM x WHERE changed OR barred""")
 def connection_set_validity(t: Tables):
-    status = F.when(F.col("name") == "red gear", "non_purchased").otherwise(F.col("status"))
-    rows = connections(t).withColumn("status", status).withColumn("reviewed_at", F.when(F.col("name") != "hot rod", now())).withColumn(
+    status = F.when(F.col("name").startswith("red gear "), "non_purchased").otherwise(F.col("status"))
+    rows = connections(t).withColumn("status", status).withColumn("reviewed_at", F.when(~F.col("name").startswith("hot rod "), now())).withColumn(
         "main_product_id", F.when(~F.col("name").startswith("old "), F.col("main_product_id")))
     goods = packages(t).select("product_id", "identity", F.when(F.col("availability") == "unavailable", "blocked").alias("policy_reason"))
     return rt.connection_violations(rows, goods, F.lit(None).cast("string"))
@@ -269,12 +279,12 @@ def decision_checks(t: Tables):
     return rv.decision_violations(decided.unionByName(stray), inventory, candidates)
 
 
-@query("decision_expansion", """
-WITH pick AS (SELECT p_name AS name, p_partkey AS code, p_brand, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 2)
+@query("decision_expansion", f"""
+WITH pick AS (SELECT lot AS name, p_partkey AS code, p_brand, row_number() OVER (PARTITION BY lot ORDER BY p_partkey) AS rk FROM {_LOTS})
 SELECT name, CASE WHEN name LIKE 'cold %' THEN 'needs_review' ELSE 'matched' END AS status, CASE WHEN name NOT LIKE 'cold %' THEN arg_max(code, rk) END AS main_product_id,
   CASE WHEN name LIKE 'cold %' THEN '' ELSE string_agg(code || '=' || p_brand, ',' ORDER BY rk DESC) END AS approved FROM pick GROUP BY name""")
 def decision_expansion(t: Tables):
-    picks = approved_by(t, F.col("p_name"), 2).select(F.col("ingredient_id").alias("name"), F.reverse("approved").alias("approved"))
+    picks = lots(t).select(F.col("ingredient_id").alias("name"), F.reverse("approved").alias("approved"))
     cold = F.col("name").startswith("cold ")
     decisions = picks.select("name", F.when(cold, "needs_review").otherwise("matched").alias("status"), F.when(cold, F.array().cast("array<bigint>")).otherwise(F.col("approved")).alias("approved"))
     goods = t.part.select(F.col("p_partkey").alias("code"), F.col("p_brand").alias("identity"))
