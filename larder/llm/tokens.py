@@ -1,10 +1,10 @@
 """Token counts of whole texts: overlapping chunks of huge documents, spliced where both sides provably agree.
 
 Texts up to ``chunk`` characters are counted where they lie.  Longer ones are cut into chunks that overlap; the chunks
-are dealt out over the cluster and encoded with offsets, and two neighbours are spliced at a *stable boundary* of their
-overlap: a single space between two printable ASCII characters that no token of either encoding crosses.  The file of the
+are dealt out over the cluster, their overlaps are encoded with offsets, and two neighbours are spliced at a *stable boundary*
+of their overlap: a single space between two other characters that no token of either encoding crosses.  The file of the
 tokenizer proves the boundary (``Tokenizer.stable``): its rules never join text over such a space, whatever lies further
-away.  Where two neighbours have no such boundary, their document is cut again with an overlap eight times as wide, until
+away; for the same reason the inside of a chunk is counted word by word.  Where two neighbours have no such boundary, their document is cut again with an overlap eight times as wide, until
 it is a single chunk.  A tokenizer whose file proves nothing encodes every text at once.
 """
 
@@ -24,8 +24,10 @@ from .common import PLACE, with_place
 from .packing import byte_ranks
 from .registry import query, table
 
-CHUNK = 16_384
+CHUNK = 32_768
 OVERLAP = 256
+#: Characters encoded beyond an overlap, so that its edge is not the edge of the encoding.
+MARGIN = 64
 WIDER = 8
 CACHED_WORDS = 500_000
 SENTENCE_SPACE = "▁"
@@ -52,13 +54,14 @@ class Tokenizer:
     """Counts and offsets by a ``tokenizers`` (.json) or ``sentencepiece`` (.model) file, without special, begin or end tokens.
 
     Strings of special tokens inside a text are handled as the library does by default.  ``stable`` says whether a single
-    space between two printable ASCII characters always ends a token: for word patterns that cannot match a space, for byte-level
+    space between two characters that are ``plain`` always ends a token: for word patterns that cannot match a space, for byte-level
     BPE, whose pattern takes such a space with what follows, and for pieces of which none holds a space after another character.
     ``drops_space``: white space gives no tokens.
     """
 
     def __init__(self, path: str):
         self.drops_space = False
+        self.plain = lambda c: not c.isspace()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -70,6 +73,8 @@ class Tokenizer:
             self.stable = prefixed and not any(SENTENCE_SPACE in piece.lstrip(SENTENCE_SPACE) for piece in pieces)
             self.count_of = lambda text: len(model.encode(text))
             self.after_space = self.count_of
+            # the model's own rules may turn other characters into spaces
+            self.plain = lambda c: "!" <= c <= "~"
             return
         from tokenizers import Tokenizer as Library
 
@@ -127,27 +132,45 @@ def count_text(text: str, path: str) -> int:
     total, (start, *rest), at_start = 0, text.split(" "), True
     run = [start]
     for word in rest:
-        # a space whose neighbours are not both printable ASCII proves nothing: what it parts is encoded together
-        if run[-1] and word and "!" <= run[-1][-1] <= "~" and "!" <= word[0] <= "~":
+        # a space whose neighbours are not both plain proves nothing: what it parts is encoded together
+        if run[-1] and word and loaded.plain(run[-1][-1]) and loaded.plain(word[0]):
             total, run, at_start = total + flush(run, at_start), [word], False
         else:
             run.append(word)
     return total + flush(run, at_start)
 
 
-def stable_boundaries(text: str, low: int, high: int, starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
-    """Stable boundaries of ``text`` from ``low`` up to ``high``, and the number of tokens before each."""
-    places, before = [], []
+def stable_boundaries(text: str, loaded: Tokenizer) -> tuple[list[int], list[int], int]:
+    """Stable boundaries of ``text``, the number of tokens before each, and of all tokens."""
+    starts, ends = loaded.spans(text)
     reach = np.maximum.accumulate(ends) if len(ends) else ends
-    at = text.find(" ", max(low, 1), high)
-    while at >= 0 and at + 1 < len(text):
-        if "!" <= text[at - 1] <= "~" and "!" <= text[at + 1] <= "~":
+    places, before, at = [], [], text.find(" ", 1)
+    while 0 <= at < len(text) - 1:
+        if loaded.plain(text[at - 1]) and loaded.plain(text[at + 1]):
             k = int(np.searchsorted(starts, at))
             if not k or reach[k - 1] <= at:
                 places.append(at)
                 before.append(k)
-        at = text.find(" ", at + 1, high)
-    return places, before
+        at = text.find(" ", at + 1)
+    return places, before, len(starts)
+
+
+def overlap_boundaries(text: str, part: int, parts: int, chunk: int, overlap: int, n: int, loaded: Tokenizer) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Stable boundaries of a chunk's two overlaps, counted from their starts, with the chunk's tokens before each."""
+    head, head_n, tail, tail_n = [], [], [], []
+    if part:
+        for at, before in zip(*stable_boundaries(text[: overlap + MARGIN], loaded)[:2], strict=True):
+            if at < overlap:
+                head.append(at)
+                head_n.append(before)
+    if part + 1 < parts:
+        low = max(0, chunk - MARGIN)
+        places, before, total = stable_boundaries(text[low:], loaded)
+        for at, k in zip(places, before, strict=True):
+            if low + at >= chunk:
+                tail.append(low + at - chunk)
+                tail_n.append(n - total + k)
+    return head, head_n, tail, tail_n
 
 
 def cut_chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -173,11 +196,8 @@ def encode_chunks(chunks: DataFrame, path: str, chunk: int, overlap: int) -> Dat
         for batch in batches:
             n, columns = [], [[], [], [], []]
             for part, parts, text in zip(batch.column("part").to_pylist(), batch.column("parts").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                starts, ends = loaded.spans(text)
-                n.append(len(starts))
-                head = stable_boundaries(text, 0, overlap, starts, ends) if part else ([], [])
-                tail = stable_boundaries(text, chunk, chunk + overlap, starts, ends) if part + 1 < parts else ([], [])
-                for column, value in zip(columns, (*head, [p - chunk for p in tail[0]], tail[1]), strict=True):
+                n.append(count_text(text, path))
+                for column, value in zip(columns, overlap_boundaries(text, part, parts, chunk, overlap, n[-1], loaded), strict=True):
                     column.append(value)
             lists = [pa.array(c, pa.list_(pa.int64())) for c in columns]
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("part"), pa.array(n, pa.int64()), *lists], names=["name", "part", "n", "head", "head_n", "tail", "tail_n"])
@@ -230,7 +250,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     while True:
         # chunks are dealt out before they are encoded, so one document keeps many tasks busy
         dealt = cut_chunks(todo, chunk, overlap).repartition("name", "part")
-        counted = cut_lineage(splice(encode_chunks(dealt, path, chunk, overlap)))
+        counted = cut_lineage(splice(cut_lineage(encode_chunks(dealt, path, chunk, overlap))))
         good = counted.filter("n_tokens IS NOT NULL")
         done = good if done is None else done.union(good)
         failed = counted.filter("n_tokens IS NULL").select(F.col("name").alias(PLACE))

@@ -1,5 +1,6 @@
 """Token counts against the libraries themselves, with chunks small enough that odd texts are spliced and widened."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -48,10 +49,28 @@ def test_boundaries_are_never_inside_a_token():
     path, _ = counter("word_bpe_49k.json")
     loaded, _ = tokens.tokenizer(path)
     text = "one two  three four"
-    places, before = tokens.stable_boundaries(text, 0, len(text), *loaded.spans(text))
-    assert places == [3, 14] and before == [1, 3]
-    crossing = tokens.stable_boundaries("a b c", 0, 5, *map(__import__("numpy").array, ([0, 2], [2, 5])))
-    assert crossing == ([], [])
+    assert tokens.stable_boundaries(text, loaded) == ([3, 14], [1, 3], 4)
+
+    class Crossing:
+        plain = staticmethod(str.isalpha)
+
+        def spans(self, text):
+            return np.array([0, 2]), np.array([2, 5])
+
+    assert tokens.stable_boundaries("a b c", Crossing()) == ([], [], 2)
+
+
+def test_overlaps_hold_the_same_boundaries_from_both_sides():
+    path, count = counter("byte_bpe_50k.json")
+    loaded, _ = tokens.tokenizer(path)
+    text = "some words and more words " * 20
+    left, right = text[:260], text[200:]
+    _, _, tail, tail_n = tokens.overlap_boundaries(left, 0, 2, 200, 60, count(left), loaded)
+    head, head_n, _, _ = tokens.overlap_boundaries(right, 1, 2, 200, 60, count(right), loaded)
+    assert set(tail) & set(head)
+    for at in set(tail) & set(head):
+        assert tail_n[tail.index(at)] == count(text[: 200 + at])
+        assert count(text[: 200 + at]) + count(right) - head_n[head.index(at)] == count(text)
 
 
 def test_odd_rows_and_empty_table(odd, odd_rows, nothing):
