@@ -156,17 +156,42 @@ def equivalent_demands(t: Tables):
     return b.merge_equal_needs(shared).groupBy("menu_id", "ingredient_id").agg(F.first("quantity").alias("quantity"), F.first("merged").alias("merged"))
 
 
-_COUPLED = """lab AS (SELECT p_partkey, 'n ' || (p_partkey // 3) AS noun, 'a ' || ((p_partkey + 1) // 2) AS adj, 'p ' || p_partkey AS one FROM part),
+def _coupled_sql(labels: str) -> str:
+    """Needs and edges under ``labels``: SQL giving (p_partkey, noun, adj, one)."""
+    return f"""lab AS ({labels}),
 ap AS (SELECT adj AS ingredient_id, p_partkey AS product_id FROM lab UNION ALL SELECT noun, p_partkey FROM lab UNION ALL SELECT one, p_partkey FROM lab),
-nd AS (SELECT DISTINCT o_custkey AS menu_id, CASE l_linenumber % 3 WHEN 0 THEN noun WHEN 1 THEN adj ELSE one END AS ingredient_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN lab ON l_partkey = p_partkey),
-edges AS (SELECT menu_id, ingredient_id, product_id FROM nd JOIN ap USING (ingredient_id)),
+nd AS (SELECT o_custkey AS menu_id, CASE l_linenumber % 3 WHEN 0 THEN noun WHEN 1 THEN adj ELSE one END AS ingredient_id, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN lab ON l_partkey = p_partkey GROUP BY ALL),
+edges AS (SELECT menu_id, ingredient_id, product_id, q FROM nd JOIN ap USING (ingredient_id)),
 links AS (SELECT DISTINCT a.menu_id, a.ingredient_id AS x, b.ingredient_id AS y FROM edges a JOIN edges b USING (menu_id, product_id)),
 reach AS (SELECT menu_id, x, y FROM links UNION SELECT r.menu_id, r.x, l.y FROM reach r JOIN links l ON l.menu_id = r.menu_id AND l.x = r.y)"""
 
 
-def coupled_options(t: Tables):
-    """Needs for a lot of three, two or one parts, whose products overlap."""
-    labels = [F.concat(F.lit("n "), lot(3)), F.concat(F.lit("a "), lot(2, 1)), F.concat(F.lit("p "), lot(1))]
+_NEIGHBOURS = "SELECT p_partkey, 'n ' || (p_partkey // 3) AS noun, 'a ' || ((p_partkey + 1) // 2) AS adj, 'p ' || p_partkey AS one FROM part"
+_COUPLED = _coupled_sql(_NEIGHBOURS)
+# the same table of counts and sets for every component: counts by generate_series, sets of goods as bit masks
+_ENUMERATED = """comp AS (SELECT menu_id, x AS ingredient_id, min(y) AS component FROM reach GROUP BY ALL HAVING count(*) > 1),
+ce AS (SELECT menu_id, component, ingredient_id, product_id, q, p_size AS size, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) + p_size * 10 AS price FROM edges JOIN comp USING (menu_id, ingredient_id) JOIN part ON p_partkey = product_id),
+goods AS (SELECT *, CAST(row_number() OVER (PARTITION BY menu_id, component ORDER BY price / size, product_id) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT menu_id, component, product_id, size, price FROM ce)),
+masks AS (SELECT menu_id, component, ingredient_id, any_value(q) AS q, sum(CAST(1 AS BIGINT) << k)::BIGINT AS mask, min(price / size) AS least, min(CAST(ceil(q / size) AS BIGINT) * price) AS plain FROM ce JOIN goods USING (menu_id, component, product_id, size, price) GROUP BY ALL),
+sets AS (SELECT menu_id, component, mask FROM masks UNION SELECT s.menu_id, s.component, s.mask | m.mask FROM sets s JOIN masks m ON m.menu_id = s.menu_id AND m.component = s.component AND (s.mask & m.mask) <> 0),
+wants AS (SELECT s.menu_id, s.component, s.mask, sum(m.q) AS want FROM sets s JOIN masks m ON m.menu_id = s.menu_id AND m.component = s.component AND (m.mask & ~s.mask) = 0 GROUP BY ALL),
+excess AS (SELECT g.menu_id, g.component, g.k, any_value(g.size) AS size, any_value(g.price) AS price, any_value(g.price) - any_value(g.size) * max(m.least) AS excess FROM goods g JOIN masks m ON m.menu_id = g.menu_id AND m.component = g.component AND (m.mask >> g.k) & 1 = 1 GROUP BY ALL),
+box AS (SELECT menu_id, component, m, w, s, p, e, least, plain FROM
+  (SELECT menu_id, component, list(mask ORDER BY mask) AS m, list(want ORDER BY mask) AS w FROM wants GROUP BY ALL) JOIN
+  (SELECT menu_id, component, list(size ORDER BY k) AS s, list(price ORDER BY k) AS p, list(excess ORDER BY k) AS e FROM excess GROUP BY ALL) USING (menu_id, component) JOIN
+  (SELECT menu_id, component, sum(q * least) AS least, sum(plain) AS plain FROM masks GROUP BY ALL) USING (menu_id, component)),
+walk AS (SELECT menu_id, component, 0 AS k, CAST(0 AS BIGINT) AS paid, CAST(0 AS DOUBLE) AS over, list_transform(w, lambda x: x * 0) AS held FROM box
+  UNION SELECT menu_id, component, k + 1, paid + n * p[k + 1], over + n * e[k + 1], [CASE WHEN (m[i] >> k) & 1 = 1 THEN least(w[i], held[i] + n * s[k + 1]) ELSE held[i] END for i in range(1, len(m) + 1)]
+  FROM (SELECT t.*, b.m, b.w, b.s, b.p, b.e, b.least, b.plain, unnest(generate_series(
+      list_max([CASE WHEN (b.m[i] >> t.k) & 1 = 1 AND b.m[i] >> (t.k + 1) = 0 THEN CAST(ceil((b.w[i] - t.held[i]) / b.s[t.k + 1]) AS BIGINT) ELSE 0 END for i in range(1, len(b.m) + 1)]),
+      list_max([CASE WHEN (b.m[i] >> t.k) & 1 = 1 THEN CAST(ceil((b.w[i] - t.held[i]) / b.s[t.k + 1]) AS BIGINT) ELSE 0 END for i in range(1, len(b.m) + 1)]))) AS n
+    FROM walk t JOIN box b ON b.menu_id = t.menu_id AND b.component = t.component WHERE t.k < len(b.s))
+  WHERE least + over + n * e[k + 1] <= plain + 0.001)"""
+_CHEAPEST = "SELECT t.menu_id, t.component, min(t.paid) AS cost_ore, TRUE AS optimization_complete FROM walk t JOIN box b ON b.menu_id = t.menu_id AND b.component = t.component AND t.k = len(b.s) GROUP BY ALL"
+
+
+def coupled_options(t: Tables, labels: list):
+    """Needs under three labels for parts, by line number; parts of one label serve its needs, so products overlap."""
     approved = None
     for label in labels:
         part = approved_in(t, label)
@@ -181,18 +206,42 @@ def coupled_options(t: Tables):
     return pairs.join(goods, "product_id").withColumn("unit", F.lit("piece"))
 
 
+def neighbouring_lots():
+    """Lots of three, two or one neighbouring parts."""
+    return [F.concat(F.lit("n "), lot(3)), F.concat(F.lit("a "), lot(2, 1)), F.concat(F.lit("p "), lot(1))]
+
+
 @query("basket_components", m.sql(_COUPLED, body="SELECT menu_id, x AS ingredient_id, min(y) AS component FROM reach GROUP BY ALL"))
 def basket_components(t: Tables):
-    return b.connected_components(coupled_options(t), "menu_id", "ingredient_id", "product_id").select("menu_id", "ingredient_id", "component")
+    return b.connected_components(coupled_options(t, neighbouring_lots()), "menu_id", "ingredient_id", "product_id").select("menu_id", "ingredient_id", "component")
 
 
-@query("coupled_cover")
-def coupled_cover(t: Tables):
-    """Components that share products.  No SQL: an integer cover per component; checked against brute force in the tests."""
-    _, coupled = b.split_coupled(coupled_options(t))
+def _covers(options):
+    _, coupled = b.split_coupled(options)
     labels = b.connected_components(coupled, "menu_id", "ingredient_id", "product_id")
-    covers = b.cover_coupled(coupled, labels, max_states=10_000)
-    return covers.select("menu_id", "component", F.col("cost").cast("bigint").alias("cost_ore"), F.size("packs").alias("products"), "optimization_complete")
+    covers = b.cover_coupled(coupled, labels)
+    return covers.select("menu_id", "component", F.col("cost").cast("bigint").alias("cost_ore"), "optimization_complete")
+
+
+@query("coupled_cover", m.sql(_COUPLED, _ENUMERATED, body=_CHEAPEST))
+def coupled_cover(t: Tables):
+    """Components of needs that share products of neighbouring lots."""
+    return _covers(coupled_options(t, neighbouring_lots()))
+
+
+_SCATTERED = """SELECT p_partkey, 'c ' || ((p_partkey * 7 + 3) % n.parts // 3) AS noun, 'd ' || ((p_partkey * 11 + 5) % n.parts // 2) AS adj, 'p ' || p_partkey AS one FROM part, (SELECT count(*) AS parts FROM part) n"""
+
+
+def scattered_lots(t: Tables):
+    """Lots whose parts lie far apart, differently for each label, so that needs are coupled across the catalogue."""
+    parts = t.part.count()
+    return [F.expr(f"concat('c ', ((p_partkey * 7 + 3) % {parts}) DIV 3)"), F.expr(f"concat('d ', ((p_partkey * 11 + 5) % {parts}) DIV 2)"), F.concat(F.lit("p "), lot(1))]
+
+
+@query("coupled_cover_scattered", m.sql(_coupled_sql(_SCATTERED), _ENUMERATED, body=_CHEAPEST))
+def coupled_cover_scattered(t: Tables):
+    """Components of needs whose products lie anywhere in the catalogue."""
+    return _covers(coupled_options(t, scattered_lots(t)))
 
 
 @query("unit_switch", """
