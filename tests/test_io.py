@@ -69,26 +69,62 @@ def _write_batches(spark, folder, batches, schema):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part{i:03d}")
 
 
-def test_changes_follow_keys_across_micro_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jobs, "COMPACT_EVERY", 3)
+def test_changes_follow_keys_across_micro_batches(spark, tmp_path):
     schema = "k string, ts timestamp_ntz, n int, price int"
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
     batches = [[("a", at(5 * i + j), 5 * i + j, (5 * i + j) // 3) for j in range(5)] + [("b", at(5 * i), 5 * i, 1)] for i in range(8)]
     batches[4].append(("a", at(1), 999, 77))
     _write_batches(spark, str(tmp_path / "in"), batches, schema)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = jobs.price_changes(stream, str(tmp_path / "out"), ["k"], ["ts", "n"], ["price"], F.col("ts").cast("date"))
+    query = jobs.price_changes(stream, str(tmp_path / "out"), ["k"], ["ts", "n"], ["price"])
     query.awaitTermination()
     history = spark.read.parquet(str(tmp_path / "out/history"))
     assert sorted((r.k, r.n) for r in history.collect()) == sorted([("a", n) for n in range(0, 40, 3)] + [("b", 0)])
-    assert [r.n for r in spark.read.parquet(str(tmp_path / "out/history-late")).collect()] == [999]
+    assert [r.n for r in spark.read.parquet(str(tmp_path / "out/late")).collect()] == [999]
+    assert sorted((r.k, r.n, r.price) for r in jobs.current_state(spark, str(tmp_path / "out")).collect()) == [("a", 39, 13), ("b", 35, 1)]
+
+
+def test_a_repeat_needs_a_younger_kept_row(spark, tmp_path):
+    schema = "k string, ts timestamp, n int"
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    # 20, 20 and 20 minutes apart: the second repeats the first, the third is 40 minutes after the last kept one
+    batches = [[("a", at(0), 1), ("a", at(20), 2), ("b", at(5), 5)], [("a", at(40), 3)], [("a", at(60), 4), ("b", at(35), 6), ("c", None, 7)], [("a", at(300), 8), ("a", at(300), 9)], [("a", at(10), 10)]]
+    _write_batches(spark, str(tmp_path / "in"), batches, schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    kept = jobs.drop_repeats(stream, "ts", ["k"], ["n"])
+    assert kept.columns == ["k", "ts", "n"]
+    jobs.write_table(kept, str(tmp_path / "kept"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [1, 3, 5, 6, 8]
+
+
+def test_closed_weeks_are_not_written_again(spark, tmp_path):
+    schema = "k string, ts timestamp_ntz"
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    counts, out = None, str(tmp_path / "weeks")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, per_trigger=None)
+        jobs.write_weeks(jobs.weekly_counts(stream, "ts", ["k"]), out, str(tmp_path / "checkpoint")).awaitTermination()
+        return {(str(r.week_end)[:10], r.k): r.observations for r in jobs.read_weeks(spark, out, ["k"]).collect()}
+
+    def files():
+        return sorted(str(p.relative_to(out)) for p in (tmp_path / "weeks").rglob("*.parquet") if "week=2024-01-07" in str(p))
+
+    assert run([("a", day(1)), ("a", day(2))]) == {("2024-01-07", "a"): 2}
+    counts = run([("a", day(3)), ("b", day(8))])
+    assert counts == {("2024-01-07", "a"): 3, ("2024-01-14", "b"): 1}
+    before = files()
+    # the first week ended more than a day before the second one: it is closed, the second is not
+    assert run([("a", day(4)), ("b", day(9))]) == {("2024-01-07", "a"): 3, ("2024-01-14", "b"): 2}
+    assert files() == before
 
 
 def test_two_misses_in_a_row(spark, tmp_path):
     schema = "k string, ts int, seen boolean"
     _write_batches(spark, str(tmp_path / "in"), [[("a", 1, True), ("b", 1, False)], [("a", 2, False), ("b", 2, True)], [("a", 3, False), ("b", 3, False)]], schema)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    jobs.confirmed_misses(stream, str(tmp_path / "out"), ["k"], ["ts"], F.lit(0)).awaitTermination()
+    jobs.confirmed_misses(stream, str(tmp_path / "out"), ["k"], ["ts"]).awaitTermination()
     assert [(r.k, r.ts) for r in spark.read.parquet(str(tmp_path / "out/confirmed")).collect()] == [("a", 3)]
 
 
