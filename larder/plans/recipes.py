@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_folded
-from ..operators import batching, corpus, quality, recipes as r, versions as v
+from ..operators import batching, corpus, quality, recipes as r, search, versions as v
+from ..session import shared_folder
 from ..sources import feeds, tables
 from . import mapping as m
 from .registry import Tables, query
@@ -181,6 +184,46 @@ def trigram_search(t: Tables):
     return r.title_search(titles, "key", "title", SEARCHES).select("query_id", "id.kind", "id.id")
 
 
+def _search_titles(t: Tables):
+    """Titles of parts and documents before and after a delta: part names turn from others' into their own, some parts are new, some rows leave."""
+    key = lambda kind, id: F.struct(F.lit(kind).alias("kind"), id.alias("id")).alias("key")
+    parts = t.part.select(key("part", F.col("p_partkey")), F.col("p_name").alias("title"), "p_partkey", "p_size")
+    documents = t.documents.select(key("document", F.col("doc_id")), F.col("text").alias("title"))
+    renamed, fresh = F.col("p_partkey") % 5 == 0, F.col("p_size") == 50
+    changed = parts.filter(renamed | fresh).select("key", "title")
+    before = parts.filter(renamed & ~fresh).select("key", F.reverse("title").alias("title")).unionByName(
+        parts.filter("p_size = 7").select(key("part", -F.col("p_partkey")), "title"))
+    kept = parts.filter(~renamed & ~fresh).select("key", "title").unionByName(documents)
+    return kept, before, changed
+
+
+def _stored_search(t: Tables, kinds: tuple[str, ...] = ("part", "document")):
+    kept, before, changed = _search_titles(t)
+    kept = kept.filter(F.col("key.kind").isin(*kinds))
+    root = f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}"
+    search.store_postings(kept.unionByName(before), root, "key", "title")
+    search.update_postings(before, changed, root, "key", "title", 1)
+    return kept.unionByName(changed), root
+
+
+@query("stored_trigram_search", m.sql(_SEARCHES, body="""
+SELECT query_id, 'part' AS kind, p_partkey AS id FROM part, q WHERE contains(lower(p_name), q)
+UNION ALL SELECT query_id, 'document', doc_id FROM documents, q WHERE contains(lower(text), q)"""))
+def stored_trigram_search(t: Tables):
+    """The same search from stored postings that went through a delta."""
+    titles, root = _stored_search(t)
+    return search.search(titles, root, "key", "title", SEARCHES).select("query_id", "id.kind", "id.id")
+
+
+@query("stored_posting_counts", """
+SELECT lower(p_name)[i:i + 2] AS gram, count(DISTINCT p_partkey) AS titles FROM part, range(1, 60) r(i) WHERE i + 2 <= length(p_name) GROUP BY 1""")
+def stored_posting_counts(t: Tables):
+    """Titles per gram in the stored postings of the parts, after the delta."""
+    _, root = _stored_search(t, ("part",))
+    held = search.read_postings(t.spark, root).filter("id.kind = 'part'")
+    return held.groupBy("gram").agg(F.count(F.lit(1)).alias("titles"))
+
+
 @query("search_index_parity", """
 SELECT p_partkey AS id, lower(p_name) AS title, CAST(CASE WHEN p_size = 50 THEN 1 ELSE 0 END AS BIGINT) AS surplus FROM part WHERE p_size = 50""")
 def search_index_parity(t: Tables):
