@@ -171,14 +171,19 @@ def _permitted(kind: Column, brand: Column) -> Column:
     return F.when(kind == "chicken", brand.isin(*CHICKEN_BRANDS)).otherwise(brand.isin(*MEAT_BRANDS))
 
 
+def meat_kind(title: Column, categories: Column, own: Column) -> Column:
+    """Kind of meat a product holds: by its title, else by its aisle; NULL for none."""
+    in_meat_aisle = F.exists(categories, lambda c: c.startswith(MEAT_CATEGORY_PREFIX)) & ~title.rlike(PLANT)
+    return F.coalesce(own["meat"], F.when(in_meat_aisle, F.lit("other_meat")))
+
+
 def product_policy(title: Column, brand: Column, categories: Column, own: Column, requested: Column | None = None) -> Column:
     """Reason a product is not permitted, or NULL.
 
     ``title``, ``brand`` and ``categories`` are folded; ``own`` and ``requested`` are
     ``classify`` structs of the product title and of the requested ingredient.
     """
-    in_meat_aisle = F.exists(categories, lambda c: c.startswith(MEAT_CATEGORY_PREFIX)) & ~title.rlike(PLANT)
-    kind = F.coalesce(own["meat"], F.when(in_meat_aisle, F.lit("other_meat")))
+    kind = meat_kind(title, categories, own)
     brand = F.coalesce(brand, F.lit(""))
     reasons = []
     if requested is not None:

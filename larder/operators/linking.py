@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.policy import classify
+from ..functions.policy import classify, meat_kind, product_policy
 from ..functions.text import fold_text, leftover_words, strip_preparation
 
 CANDIDATES_KEPT = 8
@@ -104,65 +104,103 @@ CONSTRAINT_WORDS = (
 )
 
 
+#: Rules to which a word alone applies (fixed values); other words apply to every rule.
+CONSTRAINED_RULES = {
+    "unsweetened": ("applesauce", "almond-milk", "soy-milk"), "liquid": ("honey",), "raw": ("honey",), "boneless": ("pork-chop",), "lean": ("beef-mince",), "sharp": ("cheddar",)}
+MEAT_MARK = "meat="
+
+
+def meat_class(meat: Column) -> Column:
+    """chicken, other or empty: what a requested name and a product must have in common."""
+    return F.when(meat == "chicken", "chicken").when(meat.isNotNull(), "other").otherwise("")
+
+
 def constraint_signature(original: Column, raw: Column) -> Column:
-    """The constraining words of a folded name, in a fixed order, with the percentage of the name as written.
+    """What a folded name asks of its products: constraining words in a fixed order, the percentage as written, the class of meat.
 
-    Folding drops the decimal point, so the percentage must come from the raw name.  Names with the same rule and signature accept exactly the same products, and there are
-    few signatures however many names there are.
+    Folding drops the decimal point, so the percentage must come from the raw name.  Names with the same rule and signature accept
+    exactly the same products, and there are few signatures however many names there are.
     """
+    meat = meat_class(classify(original)["meat"])
     words = F.array(*[F.when(original.rlike(pattern), F.lit(word)) for word, pattern in CONSTRAINT_WORDS],
-                    F.nullif(F.regexp_extract(raw, r"\d+(?:\.\d+)?%", 0), F.lit("")))
+                    F.nullif(F.regexp_extract(raw, r"\d+(?:\.\d+)?%", 0), F.lit("")), F.when(meat != "", F.concat(F.lit(MEAT_MARK), meat)))
     return F.array_join(F.filter(words, lambda w: w.isNotNull()), " ")
 
 
-def signature_accepts(signature: Column, rule_id: Column, title: Column, raw_title: Column, categories: Column, brand: Column) -> Column:
-    """Whether a pooled product satisfies the constraining words of a name."""
-    from ..functions.attributes import PERCENT_IN_REQUEST, PERCENT_IN_TITLE, percent
+def _mask(tests: Sequence[Column]) -> Column:
+    """Bit i for the i-th test."""
+    bits = [F.when(F.coalesce(test, F.lit(False)), 1 << i).otherwise(0) for i, test in enumerate(tests)]
+    total = bits[0]
+    for bit in bits[1:]:
+        total = total + bit
+    return total.cast("bigint")
+
+
+def needed_proofs(signature: Column, rule_id: Column) -> Column:
+    """The words of a signature that hold under its rule, as bits in the order of ``CONSTRAINT_WORDS``."""
+    words = F.regexp_replace(signature, MEAT_MARK + r"\w+", "")
+    return _mask([words.rlike(pattern) & (rule_id.isin(*CONSTRAINED_RULES[word]) if word in CONSTRAINED_RULES else F.lit(True)) for word, pattern in CONSTRAINT_WORDS])
+
+
+def product_proofs(title: Column, raw_title: Column, categories: Column, brand: Column) -> Column:
+    """The words that a product satisfies, as bits in the order of ``CONSTRAINT_WORDS``."""
+    from ..functions.attributes import PERCENT_IN_TITLE, percent
 
     frozen_aisle = F.exists(categories, lambda c: c.startswith("fryst"))
     brand = F.coalesce(brand, F.lit(""))
-    fat, wanted = percent(raw_title, PERCENT_IN_TITLE), percent(signature, PERCENT_IN_REQUEST)
-    patterns = dict(CONSTRAINT_WORDS)
-
-    def needs(word: str, proof: Column, *only: str) -> Column:
-        open_ = ~signature.rlike(patterns[word]) | proof
-        return ~rule_id.isin(*only) | open_ if only else open_
-
-    checks = [
-        needs("frozen", frozen_aisle | title.rlike("fryst")),
-        needs("fresh", ~frozen_aisle),
-        needs("organic", title.rlike(r"\beko\b|ekologisk")),
-        needs("extra virgin", title.rlike("extra virgin|extra vergine|extra jungfru")),
-        needs("philadelphia", brand == "philadelphia"),
-        needs("gluten free", title.rlike("glutenfri")),
-        needs("unsalted", title.rlike("osalt")),
-        needs("unsweetened", title.rlike("osotad|utan tillsatt socker|sockerfri"), "applesauce", "almond-milk", "soy-milk"),
-        needs("liquid", title.rlike("flytande"), "honey"),
-        needs("raw", title.rlike("raw|ra honung|oupphettad"), "honey"),
-        needs("boneless", title.rlike("benfri|utan ben"), "pork-chop"),
-        needs("tabasco", title.rlike("tabasco") | (brand == "tabasco")),
-        needs("lean", F.coalesce(fat <= 10, F.lit(False)), "beef-mince"),
-        needs("sharp", title.rlike(r"lagrad|mature|extra|\d+man"), "cheddar"),
-        wanted.isNull() | F.coalesce(fat == wanted, F.lit(False)),
-    ]
-    test = checks[0]
-    for check in checks[1:]:
-        test = test & check
-    return test
+    proofs = {
+        "frozen": frozen_aisle | title.rlike("fryst"), "fresh": ~frozen_aisle, "organic": title.rlike(r"\beko\b|ekologisk"),
+        "extra virgin": title.rlike("extra virgin|extra vergine|extra jungfru"), "philadelphia": brand == "philadelphia", "gluten free": title.rlike("glutenfri"),
+        "unsalted": title.rlike("osalt"), "unsweetened": title.rlike("osotad|utan tillsatt socker|sockerfri"), "liquid": title.rlike("flytande"),
+        "raw": title.rlike("raw|ra honung|oupphettad"), "boneless": title.rlike("benfri|utan ben"), "tabasco": title.rlike("tabasco") | (brand == "tabasco"),
+        "lean": percent(raw_title, PERCENT_IN_TITLE) <= 10, "sharp": title.rlike(r"lagrad|mature|extra|\d+man"),
+    }
+    return _mask([proofs[word] for word, _ in CONSTRAINT_WORDS])
 
 
 POOL = ("rule_id", "signature")
+GROUP = ("rule_id", "proofs", "fat", "meat")
+NO_PERCENT = -1.0
+
 
+@dataclass(frozen=True)
+class Pools:
+    """Products by what they prove, and which signatures accept which groups of proofs.
+
+    ``products`` (rule_id, proofs, fat, meat, code, eligible, unit_price, ...) holds a product once a rule; ``bridge`` (rule_id,
+    signature, proofs, fat, meat) is a table of signatures and groups, which are few whatever the products and names.
+    """
+
+    products: DataFrame
+    bridge: DataFrame
+
+    def rows(self) -> DataFrame:
+        """(rule_id, signature, product): every product under every signature that accepts it.  Large; for joins with few signatures."""
+        return self.products.join(self.bridge, list(GROUP))
 
-def pool_candidates(links: DataFrame, pools: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Products accepted for each (rule, signature) that some name has.
 
-    Names are reduced to their signatures first: a rule with a million names and a million
-    products never forms name-product pairs.  pools (rule_id, title, raw_title, categories, brand, *keep).
+def build_pools(links: DataFrame, pools: DataFrame, keep: Sequence[str]) -> Pools:
+    """Group the products of each rule by proof bits, percentage and meat, and let signatures choose among the groups.
+
+    pools (rule_id, title, raw_title, categories, brand, *keep).  Products that the dietary policy excludes are left out.  A signature
+    accepts a group whose bits include its own, whose percentage is the one asked for, and whose meat is of the class asked for.
     """
-    wanted = links.filter(F.col("rule_id").isNotNull()).select(*POOL).distinct()
-    accepts = signature_accepts(F.col("signature"), F.col("rule_id"), F.col("title"), F.col("raw_title"), F.col("categories"), F.col("brand"))
-    return pools.join(wanted, "rule_id").filter(accepts).select(*POOL, *keep)
+    from ..functions.attributes import PERCENT_IN_REQUEST, PERCENT_IN_TITLE, percent
+
+    own = pools.withColumn("__own", classify(F.col("title")))
+    allowed = own.filter(product_policy(F.col("title"), F.col("brand"), F.col("categories"), F.col("__own")).isNull())
+    products = allowed.select(
+        "rule_id", product_proofs(F.col("title"), F.col("raw_title"), F.col("categories"), F.col("brand")).alias("proofs"),
+        F.coalesce(percent(F.col("raw_title"), PERCENT_IN_TITLE), F.lit(NO_PERCENT)).alias("fat"),
+        meat_class(meat_kind(F.col("title"), F.col("categories"), F.col("__own"))).alias("meat"), *keep)
+    wanted = links.filter(F.col("rule_id").isNotNull()).select(*POOL).distinct().select(
+        *POOL, needed_proofs(F.col("signature"), F.col("rule_id")).alias("__needs"), percent(F.col("signature"), PERCENT_IN_REQUEST).alias("__percent"),
+        F.regexp_extract("signature", MEAT_MARK + r"(\w+)", 1).alias("__meat"))
+    accepts = (F.col("__needs").bitwiseAND(F.col("proofs")) == F.col("__needs")) & (F.col("__percent").isNull() | (F.col("fat") == F.col("__percent"))) & (
+        (F.col("__meat") == "") | (F.col("meat") == F.col("__meat")))
+    # both sides are distinct combinations of a few bits: signatures of names, proofs of products
+    bridge = wanted.join(products.select(*GROUP).distinct(), "rule_id").filter(accepts).select("signature", *GROUP)
+    return Pools(products, bridge)
 
 
 def rank_candidates(candidates: DataFrame, keep: int = CANDIDATES_KEPT, first: Sequence[Column] = (), keys: Sequence[str] = ("name",)) -> DataFrame:
@@ -172,9 +210,10 @@ def rank_candidates(candidates: DataFrame, keep: int = CANDIDATES_KEPT, first: S
     return ranked.filter(F.col("rank") <= keep)
 
 
-def name_candidates(links: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The best candidates of every name, from its pool's best (code, eligible, unit_price, rank)."""
-    return links.select("name", *POOL).join(rank_candidates(candidates, keys=POOL), list(POOL)).drop(*POOL)
+def name_candidates(links: DataFrame, pools: Pools, keep: int = CANDIDATES_KEPT) -> DataFrame:
+    """The best candidates of every name (code, eligible, unit_price, rank): the best of each group first, then of the groups of a signature."""
+    best = rank_candidates(pools.products.select(*GROUP, "code", "eligible", "unit_price"), keep, keys=GROUP).drop("rank")
+    return links.select("name", *POOL).join(rank_candidates(best.join(pools.bridge, list(GROUP)).drop("proofs", "fat", "meat"), keep, keys=POOL), list(POOL)).drop(*POOL)
 
 
 def _cheapest(test: Column) -> Column:
@@ -182,24 +221,32 @@ def _cheapest(test: Column) -> Column:
     return F.min_by(F.when(test, F.struct("code", "unit_price")), F.when(test, order))
 
 
-def select_links(requirements: DataFrame, links: DataFrame, candidates: DataFrame, approved: DataFrame | None = None,
+def _least(column: str) -> Column:
+    """The cheapest of already chosen (code, unit_price) structs."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct(F.coalesce(F.col(f"{column}.unit_price"), F.lit(float("inf"))), F.col(f"{column}.code"))))
+
+
+def select_links(requirements: DataFrame, links: DataFrame, pools: Pools, approved: DataFrame | None = None,
                  rejected: DataFrame | None = None) -> DataFrame:
     """Five-status link per requirement.
 
-    requirements (name, occurrences); links from ``link_aliases``; candidates (rule_id, signature, code,
-    eligible, unit_price); approved (name, code, eligible, unit_price) are reviewed products; rejected
-    (name, code).  Pools are reduced before they meet the names.  Only names that rejected something
-    look at their pool row by row, because their best product may lie anywhere in it.
+    requirements (name, occurrences); links from ``link_aliases``; pools from ``build_pools``; approved (name, code,
+    eligible, unit_price) are reviewed products; rejected (name, code).  Products are reduced to the cheapest of each group before
+    they meet signatures, and signatures before they meet names.  A name that rejected r products needs the r + 1
+    cheapest of each group at most.  ``candidates`` counts the pool, rejected products included.
     """
     certain = links.select("name", *POOL, F.coalesce(~F.col("uncertain"), F.lit(False)).alias("__certain"))
-    pooled = candidates.groupBy(*POOL).agg(_cheapest(F.col("eligible")).alias("__pool"), F.count(F.lit(1)).alias("candidates"))
+    grouped = pools.products.groupBy(*GROUP).agg(_cheapest(F.col("eligible")).alias("__best"), F.count(F.lit(1)).alias("__n"))
+    pooled = grouped.join(pools.bridge, list(GROUP)).groupBy(*POOL).agg(_least("__best").alias("__pool"), F.sum("__n").alias("candidates"))
     picks = certain.join(pooled, list(POOL), "left").select("name", "__certain", "__pool", "candidates")
     if rejected is not None:
+        most = rejected.groupBy("name").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        near = rank_candidates(pools.products.filter("eligible").select(*GROUP, "code", "eligible", "unit_price"), most + 1, keys=GROUP).drop("rank")
         touched = rejected.select("name").distinct()
-        rows = certain.join(touched, "name", "left_semi").join(candidates, list(POOL)).join(rejected, ["name", "code"], "left_anti")
-        redone = rows.groupBy("name", "__certain").agg(_cheapest(F.col("eligible")).alias("__pool"), F.count(F.lit(1)).alias("candidates"))
-        bare = certain.join(touched, "name", "left_semi").select("name", "__certain").join(redone.drop("__certain"), "name", "left")
-        picks = picks.join(touched, "name", "left_anti").unionByName(bare.select("name", "__certain", "__pool", "candidates"))
+        rows = certain.join(touched, "name", "left_semi").join(pools.bridge, list(POOL)).join(near, list(GROUP)).join(rejected, ["name", "code"], "left_anti")
+        redone = rows.groupBy("name").agg(_cheapest(F.col("eligible")).alias("__redone"))
+        marked = picks.join(touched.withColumn("__touched", F.lit(True)), "name", "left").join(redone, "name", "left")
+        picks = marked.withColumn("__pool", F.when(F.col("__touched"), F.col("__redone")).otherwise(F.col("__pool"))).drop("__touched", "__redone")
     policy = requirements.select("name").distinct().withColumn("__policy", classify(fold_text(F.col("name"))))
     joined = requirements.join(policy, "name").join(links.drop("signature"), "name", "left").join(picks, "name", "left")
     pool_pick = F.when(F.col("__certain"), F.col("__pool"))
@@ -233,7 +280,7 @@ def select_links(requirements: DataFrame, links: DataFrame, candidates: DataFram
     return rows.select(
         "name", "occurrences", "rule_id", status.alias("status"), reason.alias("reason"),
         F.when(chosen, F.col("__best.code")).alias("selected_code"), F.when(chosen, F.col("__best.unit_price")).alias("unit_price"),
-        F.coalesce(F.col("candidates"), F.lit(0)).alias("candidates"))
+        F.coalesce(F.col("candidates"), F.lit(0)).cast("bigint").alias("candidates"))
 
 
 def summarize_links(links: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal, pricing
 from ..functions.text import fold_text
 from ..operators import linking as link, versions as v
 from . import mapping as m
+from .quotes import now
 from .registry import Tables, query
 
 #: Demonstration rules over the driver's part names; real jobs pass their reviewed vocabulary.
@@ -69,15 +71,22 @@ def rule_pool_join(t: Tables):
     return link.rule_pools(catalogue(t), RULES)
 
 
-#: Product facts of the candidate: eligibility and a price per piece.
-_CANDIDATES = """cand AS (SELECT l.name, p.code, (p.size % 7 <> 0) AS eligible, CAST(p.price_ore AS DOUBLE) / p.size AS unit_price
-  FROM links l JOIN pool USING (rule_id) JOIN products p USING (code) WHERE l.rule_id IS NOT NULL AND NOT regexp_matches(l.original, '\\borganic\\b'))"""
+#: Product facts of the candidate: packs in grams, millilitres or pieces, priced by the basis of the rule; out of stock where the size is a multiple of seven.
+_CANDIDATES = """priced_ AS (SELECT l.name, p.code, l.original, p.size % 7 <> 0 AS available, CASE WHEN l.basis = CASE p.code % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'l' ELSE 'piece' END
+    THEN p.price_ore / CAST(p.size AS DOUBLE) * CASE WHEN l.basis = 'piece' THEN 1.0 ELSE 1000.0 END END AS unit_price
+  FROM links l JOIN pool USING (rule_id) JOIN products p USING (code) WHERE l.rule_id IS NOT NULL AND NOT regexp_matches(l.original, '\\borganic\\b')),
+cand AS (SELECT name, code, available AND unit_price IS NOT NULL AS eligible, unit_price FROM priced_)"""
 
 
-def _candidates(t: Tables):
+def _candidates(t: Tables) -> link.Pools:
     pools = link.rule_pools(catalogue(t), RULES, keep=("code", "raw_title", "title", "brand", "categories", "price_ore", "size"))
-    accepted = link.pool_candidates(_links(t), pools, keep=("code", "price_ore", "size"))
-    return accepted.select(*link.POOL, "code", (F.col("size") % 7 != 0).alias("eligible"), (F.col("price_ore") / F.col("size")).alias("unit_price"))
+    basis = F.create_map(*[F.lit(x) for r in RULES for x in (r.id, r.basis)])[F.col("rule_id")]
+    unit = F.element_at(F.array(F.lit("g"), F.lit("ml"), F.lit("piece")), (F.col("code") % 3 + 1).cast("int"))
+    pack = F.struct(F.col("size").cast("double").alias("quantity"), unit.alias("unit"), F.lit(None).cast("double").alias("drained_grams"), F.lit(False).alias("approximate"))
+    price = pricing.comparable_unit_price(F.col("price_ore"), F.lit("kr/st"), F.lit(None).cast("bigint"), F.lit(None).cast("string"), pack, basis)
+    rows = pools.withColumn("unit_price", price)
+    why = pricing.candidate_exclusion(F.lit(None).cast("string"), F.col("size") % 7 != 0, F.col("price_ore"), F.lit(0), F.col("unit_price"), now(), cal.week_end(now()), now(), F.lit(False))
+    return link.build_pools(_links(t), rows.withColumn("eligible", why.isNull()), keep=("code", "eligible", "unit_price"))
 
 
 _SELECTED = """best_ AS (SELECT c.name, count(*) AS candidates, arg_min(struct_pack(code := code, unit_price := unit_price), struct_pack(p := unit_price, c := code)) FILTER (eligible AND NOT l.uncertain) AS b
@@ -210,14 +219,14 @@ def link_refresh_tombstones(t: Tables):
 
 
 @query("reviewed_selection", m.sql(*_ALL, body="""
-, rej AS (SELECT name, code FROM cand WHERE name LIKE 'chopped %' AND code % 2 = 0), app AS (SELECT n.name, p.code, p.size % 3 <> 0 AS eligible, CAST(p.price_ore AS DOUBLE) / p.size AS unit_price FROM names n JOIN products p ON n.name = 'odd ' || p.name WHERE p.category = 'promo'),
+, rej AS (SELECT name, code FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY eligible DESC, unit_price NULLS LAST, code) AS rk FROM cand) WHERE rk <= 8 AND name LIKE 'chopped %' AND code % 2 = 0), app AS (SELECT n.name, p.code, p.size % 3 <> 0 AS eligible, CAST(p.price_ore AS DOUBLE) / p.size AS unit_price FROM names n JOIN products p ON n.name = 'odd ' || p.name WHERE p.category = 'promo'),
 c2 AS (SELECT c.*, FALSE AS approved FROM cand c ANTI JOIN rej r ON r.name = c.name AND r.code = c.code UNION ALL SELECT *, TRUE FROM app),
 b AS (SELECT c2.name, arg_min(struct_pack(code := code, approved := approved), struct_pack(p := unit_price, c := code, a := NOT approved)) FILTER (eligible AND (approved OR NOT coalesce(l.uncertain, TRUE))) AS b FROM c2 JOIN links l USING (name) GROUP BY 1)
 SELECT n.name, CASE WHEN b IS NOT NULL THEN 'matched' WHEN l.rule_id IS NULL OR l.uncertain THEN 'needs_review' ELSE 'unavailable' END AS status, b.code AS selected_code, CASE WHEN b IS NOT NULL THEN b.approved END AS reviewed
 FROM names n JOIN links l USING (name) LEFT JOIN b USING (name)"""))
 def reviewed_selection(t: Tables):
     links, candidates = _links(t), _candidates(t)
-    rejected = links.filter(F.col("name").startswith("chopped ")).select("name", *link.POOL).join(candidates, list(link.POOL)).filter("code % 2 = 0").select("name", "code")
+    rejected = link.name_candidates(links.filter(F.col("name").startswith("chopped ")), candidates).filter("code % 2 = 0").select("name", "code")
     goods = m.products(t).filter("category = 'promo'")
     names = links.select("name").join(goods.select(F.concat(F.lit("odd "), "name").alias("name"), "code", (F.col("size") % 3 != 0).alias("eligible"), (F.col("price_ore") / F.col("size")).alias("unit_price")), "name")
     out = link.select_links(requirements(t), links, candidates, approved=names, rejected=rejected)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import calendar as cal
 from larder.functions.policy import POLICY_VERSION
+from larder.functions.text import fold_text
 from larder.operators import corpus, linking as link, quotes as q, recipes as r, retail as rt, review as rv
 
 NOW = "2026-10-14 12:00:00"
@@ -33,12 +34,58 @@ def test_pools_and_statuses(spark):
     wanted = spark.createDataFrame([("onion", 5), ("milk", 2), ("bacon", 1), ("hot water", 9), ("stone", 1)], "name string, occurrences bigint")
     links = link.link_aliases(wanted, link.alias_table(spark, RULES))
     goods = link.rule_pools(products(spark).withColumn("raw_title", F.col("title")).withColumn("brand", F.lit(None).cast("string")), RULES, ("code", "title", "raw_title", "categories", "brand", "price"))
-    pairs = link.pool_candidates(links, goods, ("code", "price")).select(
-        *link.POOL, "code", F.lit(True).alias("eligible"), F.col("price").cast("double").alias("unit_price"))
-    got = {x.name: (x.status, x.selected_code) for x in link.select_links(wanted, links, pairs).collect()}
+    goods = goods.withColumn("eligible", F.lit(True)).withColumn("unit_price", F.col("price").cast("double"))
+    built = link.build_pools(links, goods, ("code", "eligible", "unit_price"))
+    got = {x.name: (x.status, x.selected_code) for x in link.select_links(wanted, links, built).collect()}
     assert got == {"onion": ("matched", "2"), "milk": ("unavailable", None), "bacon": ("excluded", None), "hot water": ("non_purchased", None), "stone": ("needs_review", None)}
 
 
+LINK_RULES = (
+    link.FoodRule("milk", ("milk",), r"^(?:mjolk|mellanmjolk)", ("mejeri",), basis="l"), link.FoodRule("honey", ("honey",), "honung", ("skafferi",)),
+    link.FoodRule("beef-mince", ("ground beef",), "fars", ("kott",)), link.FoodRule("chicken", ("chicken breast",), "kyckling", ("kott",)), link.FoodRule("peas", ("peas",), "arter", ("fryst", "frukt")))
+GOODS = [  # code, title, aisle, brand, price
+    ("m1", "Mjölk 3%", "mejeri", "arla", 900.0), ("m2", "Mellanmjölk 1,5% eko", "mejeri", "arla", 950.0), ("m3", "Mjölk 3% eko", "mejeri", "arla", 1100.0), ("m4", "Mjölk", "mejeri", "arla", 100.0),
+    ("h1", "Flytande honung", "skafferi", "x", 500.0), ("h2", "Honung", "skafferi", "x", 400.0), ("p1", "Ärter", "fryst", "x", 50.0), ("p2", "Ärter", "frukt", "x", 80.0)]
+
+
+def linked(spark, names, goods=GOODS, eligible=True, rejected=None):
+    wanted = spark.createDataFrame([(n, 1) for n in names], "name string, occurrences bigint")
+    links = link.link_aliases(wanted, link.alias_table(spark, LINK_RULES))
+    rows = spark.createDataFrame(goods, "code string, raw_title string, aisle string, brand string, unit_price double").select(
+        "code", "raw_title", fold_text(F.col("raw_title")).alias("title"), F.array("aisle").alias("categories"), fold_text(F.col("brand")).alias("brand"), "unit_price", F.lit(eligible).alias("eligible"))
+    pools = link.build_pools(links, link.rule_pools(rows, LINK_RULES, ("code", "title", "raw_title", "categories", "brand", "unit_price", "eligible")), ("code", "eligible", "unit_price"))
+    no = None if rejected is None else spark.createDataFrame(rejected, "name string, code string")
+    return links, pools, {r.name: (r.status, r.selected_code, r.candidates) for r in link.select_links(wanted, links, pools, rejected=no).collect()}
+
+
+def test_signatures_choose_among_groups_of_proofs(spark):
+    _, pools, got = linked(spark, ["milk", "3% milk", "organic milk", "3% organic milk", "1.5% milk", "liquid honey", "liquid milk", "honey", "fresh peas", "frozen peas", "peas", "40% milk"])
+    assert got["milk"] == ("matched", "m4", 4) and got["organic milk"] == ("matched", "m2", 2)
+    assert {n: got[n][1:] for n in ("3% milk", "3% organic milk", "1.5% milk", "40% milk")} == {
+        "3% milk": (None, 2), "3% organic milk": (None, 1), "1.5% milk": (None, 1), "40% milk": (None, 0)}
+    # a word that is no part of a rule leaves the name doubtful; its pool is counted all the same
+    assert got["liquid honey"][2] == 1 and got["liquid milk"][2] == 4 and got["honey"] == ("matched", "h2", 2)
+    assert got["fresh peas"] == ("matched", "p2", 1) and got["frozen peas"] == ("matched", "p1", 1) and got["peas"] == ("matched", "p1", 2)
+    assert pools.products.count() == len(GOODS)
+
+
+def test_rejected_products_give_way_to_the_next(spark):
+    links, pools, got = linked(spark, ["milk", "peas", "honey"], rejected=[("milk", "m4"), ("milk", "m1"), ("honey", "h1"), ("honey", "h2")])
+    assert got == {"milk": ("matched", "m2", 4), "peas": ("matched", "p1", 2), "honey": ("unavailable", None, 2)}
+    best = sorted((r.name, r.rank, r.code) for r in link.name_candidates(links, pools, keep=2).collect())
+    assert best == [("honey", 1, "h2"), ("honey", 2, "h1"), ("milk", 1, "m4"), ("milk", 2, "m1"), ("peas", 1, "p1"), ("peas", 2, "p2")]
+
+
+def test_requested_meat_and_permitted_brands(spark):
+    from larder.functions.policy import CHICKEN_BRANDS, MEAT_BRANDS
+
+    chicken, meat = sorted(CHICKEN_BRANDS)[0], sorted(MEAT_BRANDS)[0]
+    goods = [("c1", "Kycklingfilé", "kott", chicken, 900.0), ("c2", "Kycklingfilé", "kott", "okand", 100.0), ("b1", "Nötfärs", "kott", meat, 700.0), ("b2", "Nötfärs", "kott", "okand", 10.0), ("b3", "Kycklingfärs", "kott", chicken, 5.0)]
+    _, pools, got = linked(spark, ["chicken breast", "ground beef"], goods)
+    assert got == {"chicken breast": ("matched", "b3", 2), "ground beef": ("matched", "b1", 1)}
+    assert {r.code for r in pools.products.collect()} == {"c1", "b1", "b3"}
+
+
 def test_line_costs(spark):
     lines = spark.createDataFrame(
         [("flour", "g", "500", False, None, None), ("flour", "cup", "1", False, None, 120.0), ("oil", "ml", "100", False, None, None), ("egg", "count", "3", False, None, None), ("beans", "g", "100", False, None, None),
