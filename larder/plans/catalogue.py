@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import quality, versions as v
+from ..operators import quality, version_store, versions as v
+from ..session import shared_folder
 from ..sources import feeds, tables
 from . import mapping as m
 from .registry import Tables, query
@@ -21,8 +24,7 @@ delta AS (SELECT coalesce(a.store, b.store) AS store, coalesce(a.code, b.code) A
 
 
 def _delta(t: Tables):
-    rows = m.scans(t)
-    return v.classify_delta(rows.filter(F.col("revision") == LAST - 1), rows.filter(F.col("revision") == LAST), KEYS, "content", "price_ore")
+    return v.classify_delta(m.scans(t, LAST - 1, LAST), m.scans(t, LAST, LAST + 1), KEYS, "content", "price_ore")
 
 
 @query("snapshot_delta", m.sql(m.SCANS, body=_PAIR + " SELECT * FROM delta"))
@@ -61,17 +63,32 @@ def scd2_versions(t: Tables):
 
 @query("delta_publish", m.sql(m.SCANS, body=_VERSIONS + " SELECT *, valid_to IS NULL AS open FROM versions"))
 def delta_publish(t: Tables):
-    rows = m.scans(t).select("store", "revision", "code", "content")
-    earlier = rows.filter(F.col("revision") < LAST)
-    state = v.build_versions(earlier, earlier, KEYS, "content")
-    after = v.apply_delta(state, rows.filter(F.col("revision") == LAST).drop("revision"), LAST, KEYS, "content")
-    return after.withColumn("open", F.col("valid_to").isNull())
+    """The last yearly scan published to the stored versions of the earlier ones."""
+    earlier = m.scans(t, before=LAST).select("store", "revision", "code", "content")
+    store = _stored(t, v.build_versions(earlier, earlier, KEYS, "content"))
+    after = store.publish(m.scans(t, LAST, LAST + 1).select("store", "code", "content"), LAST)
+    return after.read().withColumn("open", F.col("valid_to").isNull())
+
+
+def _stored(t: Tables, versions):
+    return version_store.store_versions(versions, f"{shared_folder(t.spark)}/versions-{uuid.uuid4().hex}", KEYS, "content")
 
 
 @query("as_of_catalogue", m.sql(m.SCANS, body="SELECT store, revision, code, content FROM scans"))
 def as_of_catalogue(t: Tables):
-    rows = m.scans(t)
-    return v.as_of(_versions(t), rows.select("store", "revision")).select("store", "revision", "code", "content")
+    """Every scan read back from the stored versions."""
+    rows = m.scans(t).select("store", "revision", "code", "content")
+    return _stored(t, v.build_versions(rows, rows, KEYS, "content")).as_of(rows).select("store", "revision", "code", "content")
+
+
+@query("pinned_revision", m.sql(m.SCANS, body="SELECT store, code, content FROM scans WHERE revision = 5"))
+def pinned_revision(t: Tables):
+    """One revision read back after two later ones were published."""
+    earlier = m.scans(t, before=LAST - 1).select("store", "revision", "code", "content")
+    store = _stored(t, v.build_versions(earlier, earlier, KEYS, "content"))
+    for revision in (LAST - 1, LAST):
+        store = store.publish(m.scans(t, revision, revision + 1).select("store", "code", "content"), revision)
+    return store.at(5).select("store", "code", "content")
 
 
 @query("latest_version_with_tombstones", m.sql(m.SCANS, body="""

@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import ore
@@ -45,12 +47,22 @@ PRICE_ROWS = """price_rows AS (
   QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_shipdate ORDER BY l_orderkey, l_linenumber) = 1)"""
 
 
-def scans(t: Tables) -> DataFrame:
-    """One full scan per (region, year): the last row of each part in that year."""
+FIRST_YEAR = 1994
+
+
+def scans(t: Tables, since: int | None = None, before: int | None = None) -> DataFrame:
+    """One full scan per (region, year): the last row of each part in that year.
+
+    Revisions ``since`` up to, but not including, ``before``: as dates, which reach the scan of the lines.
+    """
+    lines = t.lineitem
+    for bound, inside in ((since, F.col("l_shipdate").__ge__), (before, F.col("l_shipdate").__lt__)):
+        if bound is not None:
+            lines = lines.filter(inside(F.lit(dt.datetime(FIRST_YEAR + bound, 1, 1)).cast(lines.schema["l_shipdate"].dataType)))
     where = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("store"))
-    rows = t.lineitem.join(where, "l_suppkey").select(
-        "store", (F.year("l_shipdate") - 1994).alias("revision"), F.col("l_partkey").alias("code"),
+    rows = lines.join(where, "l_suppkey").select(
+        "store", (F.year("l_shipdate") - FIRST_YEAR).alias("revision"), F.col("l_partkey").alias("code"),
         ((100 - F.round(F.col("l_discount") * 100)) * 100).cast("bigint").alias("price_ore"), F.col("l_linestatus").alias("stock"),
         F.col("l_shipdate").alias("observed_at"), "l_orderkey", "l_linenumber")
     last = latest_per_key(rows, ["store", "revision", "code"], ["observed_at", "l_orderkey", "l_linenumber"])
