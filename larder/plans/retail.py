@@ -9,7 +9,7 @@ from ..functions.text import fold_text
 from ..operators import quality, retail as rt, review as rv
 from ..sources import feeds
 from . import mapping as m
-from .baskets import approved_by, lot
+from .baskets import lot
 from .quotes import NOW, now
 from .registry import Tables, query
 
@@ -242,8 +242,10 @@ labelled AS (SELECT name, code, eligible, unit_price, CASE WHEN m AND p AND n TH
   WHEN n THEN 'manual_nomination' WHEN p THEN 'prior_review_same_name_brand' ELSE 'matcher' END AS source FROM src WHERE m OR p OR n)"""
 
 
-def _union(t: Tables):
-    rows = t.part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("code"), (F.col("p_size") % 7 != 0).alias("eligible"), (m.list_price_ore() / F.col("p_size")).alias("unit_price"), "p_size", "p_type", "p_brand")
+def _union(t: Tables, named=None):
+    """Candidates by part name, or under the names of ``named`` (name, code)."""
+    facts = t.part if named is None else t.part.drop("p_name").join(named.select(F.col("name").alias("p_name"), F.col("code").alias("p_partkey")), "p_partkey")
+    rows = facts.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("code"), (F.col("p_size") % 7 != 0).alias("eligible"), (m.list_price_ore() / F.col("p_size")).alias("unit_price"), "p_size", "p_type", "p_brand")
     return rv.union_candidates(rows.filter("p_size % 2 = 0"), rows.filter("p_type = 'PROMO'"), rows.filter("p_brand = 'Brand#4'"))
 
 
@@ -261,22 +263,27 @@ def review_queue(t: Tables):
     return rv.review_queue(items, F.substring("name", 1, 3)).select("name", "batch", "part")
 
 
-@query("decision_checks", m.sql(_UNION, body="""
-, inv AS (SELECT DISTINCT name, CAST(length(name) % 3 AS INTEGER) AS part FROM src), top AS (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY name ORDER BY eligible DESC, source = 'matcher', unit_price, code) <= 8),
-pick AS (SELECT p_name AS name, p_partkey AS code, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rk FROM part QUALIFY rk <= 2),
-d AS (SELECT name, CAST(CASE WHEN name = 'red rod' THEN 9 ELSE length(name) % 3 END AS INTEGER) AS part, CASE WHEN name LIKE 'cold %' THEN 'unavailable' ELSE 'matched' END AS status FROM inv WHERE name <> 'hot bolt')
+_LOT_UNION = _UNION.replace("SELECT p_name AS name", "SELECT lot AS name").replace("FROM part)", f"FROM {_LOTS})")
+
+
+@query("decision_checks", m.sql(_LOT_UNION, body=f"""
+, inv AS (SELECT DISTINCT lot AS name, CAST(length(lot) % 3 AS INTEGER) AS part FROM {_LOTS}), top AS (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY name ORDER BY eligible DESC, source = 'matcher', unit_price, code) <= 8),
+pick AS (SELECT lot AS name, p_partkey AS code, p_size FROM {_LOTS}),
+d AS (SELECT name, CAST(CASE WHEN name LIKE 'red rod %' THEN 9 ELSE length(name) % 3 END AS INTEGER) AS part, CASE WHEN name LIKE 'cold %' THEN 'unavailable' ELSE 'matched' END AS status FROM inv WHERE name NOT LIKE 'hot bolt %')
 SELECT name, 'decision_missing' AS violation FROM inv ANTI JOIN d USING (name) UNION SELECT 'mystery', 'decision_for_unknown_name' UNION SELECT name, 'decision_in_wrong_part' FROM d JOIN inv USING (name) WHERE d.part <> inv.part
 UNION SELECT name, 'unmatched_has_products' FROM d WHERE status = 'unavailable' UNION SELECT 'mystery', 'match_requires_products'
-UNION SELECT name, CASE WHEN top.code IS NULL THEN 'product_not_emitted' ELSE 'product_not_eligible' END FROM d JOIN pick USING (name) LEFT JOIN top USING (name, code) WHERE top.code IS NULL OR NOT top.eligible"""))
+UNION SELECT name, CASE WHEN top.code IS NULL THEN 'product_not_emitted' WHEN p_size > 45 THEN 'policy_excluded' ELSE 'product_not_eligible' END FROM d JOIN pick USING (name) LEFT JOIN top USING (name, code)
+  WHERE top.code IS NULL OR p_size > 45 OR NOT top.eligible"""))
 def decision_checks(t: Tables):
-    names = t.part.select(F.col("p_name").alias("name")).distinct()
-    inventory = names.select("name", (F.length("name") % 3).alias("part"))
-    picks = approved_by(t, F.col("p_name"), 2).select(F.col("ingredient_id").alias("name"), "approved")
-    decided = inventory.filter("name <> 'hot bolt'").join(picks, "name").select(
-        "name", F.when(F.col("name") == "red rod", 9).otherwise(F.col("part")).alias("part"), F.when(F.col("name").startswith("cold "), "unavailable").otherwise("matched").alias("status"), "approved")
+    """Decisions on every lot of parts, each approving all parts of its lot."""
+    picks = lots(t).select(F.col("ingredient_id").alias("name"), "approved")
+    inventory = picks.select("name", (F.length("name") % 3).alias("part"))
+    decided = picks.filter(~F.col("name").startswith("hot bolt ")).select(
+        "name", F.when(F.col("name").startswith("red rod "), 9).otherwise(F.length("name") % 3).alias("part"), F.when(F.col("name").startswith("cold "), "unavailable").otherwise("matched").alias("status"), "approved")
     stray = t.region.filter("r_name = 'ASIA'").select(F.lit("mystery").alias("name"), F.lit(1).alias("part"), F.lit("matched").alias("status"), F.array().cast("array<bigint>").alias("approved"))
-    candidates = rv.review_candidates(_union(t)).select("name", "code", "eligible", F.lit(None).cast("string").alias("violation"))
-    return rv.decision_violations(decided.unionByName(stray), inventory, candidates)
+    named = picks.select("name", F.explode("approved").alias("code"))
+    emitted = rv.review_candidates(_union(t, named)).join(t.part.select(F.col("p_partkey").alias("code"), F.when(F.col("p_size") > 45, "policy_excluded").alias("violation")), "code")
+    return rv.decision_violations(decided.unionByName(stray), inventory, emitted.select("name", "code", "eligible", "violation"))
 
 
 @query("decision_expansion", f"""

@@ -10,6 +10,7 @@ from ..functions.money import money_number_ore, money_ore, nested_money_ore
 from ..functions.packs import feed_pack, pack_label
 from ..functions.pricing import is_available, public_promotion
 from ..functions.text import first_text
+from ..session import cut_lineage
 
 PROMOTION = "struct<applied:boolean,qualifyingCount:int,campaignType:string,validUntil:bigint>"
 RAW_PRODUCT = (
@@ -129,27 +130,23 @@ def retail_observations(df: DataFrame, column: str, scope: str, checked_at: Colu
 
 
 def category_closure(edges: DataFrame) -> DataFrame:
-    """(root, node, depth, cyclic) for every ancestor pair of an edge table (parent, child).
+    """(root, node, depth, cyclic): every ancestor pair of an edge table (parent, child) once, at its least depth.
 
-    A frontier loop of any depth; it ends when the frontier is empty.  A node that meets itself on
-    its path is reported as ``cyclic`` and not followed further, so the loop always ends.
+    Depths double: a shortest way longer than d and no longer than 2 d starts with one of exactly d, so only pairs of that depth are
+    joined to what is known, and the rounds grow with the logarithm of the depth.  ``cyclic`` tells nodes that reach themselves.
     """
-    from ..session import cut_lineage
-
-    edges = edges.select("parent", "child").distinct()
-    side = edges
-    frontier = edges.select(F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"),
-                            F.array("parent", "child").alias("path"), (F.col("parent") == F.col("child")).alias("cyclic"))
-    found, depth = frontier, 1
+    known = cut_lineage(edges.select(F.col("parent").alias("root"), F.col("child").alias("node")).distinct().withColumn("depth", F.lit(1)))
+    reach = 1
     while True:
-        depth += 1
-        step = frontier.filter(~F.col("cyclic")).join(side, F.col("node") == F.col("parent")).select(
-            "root", F.col("child").alias("node"), F.lit(depth).alias("depth"),
-            F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            return found.drop("path")
-        found = found.unionByName(frontier)
+        onward = known.select(F.col("root").alias("__mid"), "node", F.col("depth").alias("__more"))
+        ends = known.filter(F.col("depth") == reach).select("root", F.col("node").alias("__mid"))
+        longer = ends.join(onward, "__mid").groupBy("root", "node").agg((F.min("__more") + reach).alias("depth"))
+        new = cut_lineage(longer.join(known, ["root", "node"], "left_anti"))
+        if new.isEmpty():
+            break
+        known, reach = cut_lineage(known.unionByName(new)), 2 * reach
+    loops = known.filter("root = node").select("node", F.lit(True).alias("cyclic"))
+    return known.join(loops, "node", "left").select("root", "node", "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def leaf_nodes(edges: DataFrame) -> DataFrame:

@@ -60,10 +60,20 @@ def test_csv_and_readiness(spark, tmp_path):
 def test_category_cycle_is_reported(spark):
     edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("r", "c")], "parent string, child string")
     got = {(r.root, r.node, r.depth, r.cyclic) for r in feeds.category_closure(edges).collect()}
-    assert ("r", "b", 2, False) in got and ("r", "a", 3, True) in got and ("a", "a", 2, True) in got
+    assert got == {("r", "a", 1, True), ("r", "b", 2, True), ("a", "b", 1, True), ("b", "a", 1, True), ("a", "a", 2, True), ("b", "b", 2, True), ("r", "c", 1, False)}
     assert {r.node for r in feeds.leaf_nodes(edges).collect()} == {"c"}
 
 
+def test_closure_holds_every_pair_once(spark):
+    lattice = [(f"{i}{a}", f"{i + 1}{b}") for i in range(29) for a in "xy" for b in "xy"]
+    rows = feeds.category_closure(spark.createDataFrame(lattice, "parent string, child string")).collect()
+    assert len(rows) == 4 * 30 * 29 // 2 and all(r.depth == int(r.node[:-1]) - int(r.root[:-1]) and not r.cyclic for r in rows)
+    chain = [(i, i + 1) for i in range(70)] + [(0, 65), (3, 3)]
+    got = {(r.root, r.node): (r.depth, r.cyclic) for r in feeds.category_closure(spark.createDataFrame(chain, "parent int, child int")).collect()}
+    assert got[(0, 70)] == (6, False) and got[(1, 70)] == (69, False) and got[(3, 3)] == (1, True) and len(got) == 71 * 70 // 2 + 1
+    assert feeds.category_closure(spark.createDataFrame([], "parent int, child int")).count() == 0
+
+
 def _write_batches(spark, folder, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/part{i:03d}")
