@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
 from ..functions.text import accent_table
-from .batching import compact_parts, fixed_batches
+from .batching import NUMBERED, compact_parts, fixed_batches, numbered
 from .linking import CANDIDATES_KEPT, rank_candidates
 from .versions import classify_delta, latest_per_key
 
@@ -79,11 +79,10 @@ def review_candidates(union: DataFrame) -> DataFrame:
     return rank_candidates(union, CANDIDATES_KEPT, [(F.col("source") == "matcher").cast("int").asc()])
 
 
-def review_queue(items: DataFrame, name_bucket: Column, parts: int = 3) -> DataFrame:
+def review_queue(items: DataFrame, parts: int = 3) -> DataFrame:
     """Batches of 25 names and the compact part each name belongs to."""
-    order = [F.col("name").asc()]
-    batched = fixed_batches(items, BATCH_SIZE, order, name_bucket)
-    return compact_parts(batched, parts, order, name_bucket)
+    rows = numbered(items, [F.col("name").asc()])
+    return compact_parts(fixed_batches(rows, BATCH_SIZE), parts).drop(*NUMBERED)
 
 
 def merge_fragments(fragments: Sequence[DataFrame], key: str = "name", snapshot: str = "snapshot") -> tuple[DataFrame, DataFrame]:

@@ -297,9 +297,8 @@ WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p, coun
 x AS (SELECT *, CAST(least(floor((p - 1) * 5 / c), 4) AS INTEGER) AS part, CAST(ceil(p / 25.0) AS INTEGER) AS batch, CAST(ceil(p / ceil(c / 3.0)) AS INTEGER) AS compact_part FROM n)
 SELECT part, batch, compact_part, count(*) AS rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM x GROUP BY ALL""")
 def equal_part_split(t: Tables):
-    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 65536)
-    rows = batching.equal_parts(t.orders.select("o_orderkey"), 5, order, bucket)
-    rows = batching.compact_parts(batching.fixed_batches(rows, 25, order, bucket), 3, order, bucket, out="compact_part")
+    rows = batching.numbered(t.orders.select("o_orderkey"), [F.col("o_orderkey").asc()])
+    rows = batching.compact_parts(batching.fixed_batches(batching.equal_parts(rows, 5), 25), 3, out="compact_part")
     return rows.groupBy("part", "batch", "compact_part").agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first_id"), F.max("o_orderkey").alias("last_id"))
 
 
@@ -308,7 +307,7 @@ WITH s AS (SELECT doc_id, octet_length(encode(text)) AS n, sum(octet_length(enco
 SELECT CAST(floor((c - n) / 100000) AS BIGINT) AS chunk, count(*) AS rows, min(doc_id) AS first_id, max(doc_id) AS last_id FROM s GROUP BY 1""")
 def size_bounded_chunks(t: Tables):
     sized = t.documents.select("doc_id", F.octet_length("text").cast("bigint").alias("n"))
-    chunked = batching.size_chunks(sized, F.col("n"), 100_000, [F.col("doc_id").asc()], F.floor(F.col("doc_id") / 256))
+    chunked = batching.size_chunks(sized, F.col("n"), 100_000, [F.col("doc_id").asc()])
     return batching.part_summary(chunked, "doc_id", "chunk")
 
 
@@ -354,8 +353,7 @@ p AS (SELECT part, count(*) AS rows, min(o_orderkey) AS lo, max(o_orderkey) AS h
 SELECT part, CASE WHEN part < 2 THEN 'loaded' WHEN part = 2 THEN 'conflict' ELSE 'pending' END AS state, rows,
   (SELECT CAST(sum(rows) AS BIGINT) FROM p WHERE part < 3) AS loaded FROM p""")
 def load_plan(t: Tables):
-    order, bucket = [F.col("o_orderkey").asc()], F.floor(F.col("o_orderkey") / 65536)
-    parted = batching.equal_parts(t.orders.select("o_orderkey"), 5, order, bucket)
+    parted = batching.equal_parts(t.orders.select("o_orderkey"), 5, [F.col("o_orderkey").asc()])
     manifest = batching.part_summary(parted, "o_orderkey").withColumn("sha256", F.sha2(F.concat_ws(":", "part", "rows"), 256))
     loaded = manifest.filter("part < 3").select("part", F.when(F.col("part") == 2, "other").otherwise(F.col("sha256")).alias("sha256"))
     progress = tables.load_progress(manifest.withColumn("finished", F.col("part") < 2), parted.filter("part < 3"), "o_orderkey")

@@ -260,7 +260,7 @@ WITH n AS (SELECT name, row_number() OVER (ORDER BY name) AS p, count(*) OVER ()
 SELECT name, CAST(ceil(p / 25.0) AS INTEGER) AS batch, CAST(ceil(p / ceil(c / 3.0)) AS INTEGER) AS part FROM n""")
 def review_queue(t: Tables):
     items = t.part.select(F.concat_ws(" ", "p_name", "p_brand").alias("name")).distinct()
-    return rv.review_queue(items, F.substring("name", 1, 3)).select("name", "batch", "part")
+    return rv.review_queue(items).select("name", "batch", "part")
 
 
 _LOT_UNION = _UNION.replace("SELECT p_name AS name", "SELECT lot AS name").replace("FROM part)", f"FROM {_LOTS})")

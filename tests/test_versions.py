@@ -92,11 +92,30 @@ def test_batch_gates(spark):
 
 def test_positions_and_parts(spark):
     df = spark.range(103).withColumn("id", F.col("id") * 3)
-    order, bucket = [F.col("id").asc()], F.floor(F.col("id") / 50)
-    positions = batching.with_position(df, order, bucket).orderBy("id").collect()
+    order = [F.col("id").asc()]
+    positions = batching.with_position(df, order).orderBy("id").collect()
     assert [r.position for r in positions] == list(range(1, 104))
-    parts = {r.part: r["rows"] for r in batching.part_summary(batching.equal_parts(df, 5, order, bucket), "id").collect()}
+    parts = {r.part: r["rows"] for r in batching.part_summary(batching.equal_parts(df, 5, order), "id").collect()}
     assert parts == {p: sum(1 for i in range(103) if min(i * 5 // 103, 4) == p) for p in range(5)}
-    sized = batching.size_chunks(df.withColumn("n", F.col("id") % 10 + 1), F.col("n"), 20, order, bucket)
+    sized = batching.size_chunks(df.withColumn("n", F.col("id") % 10 + 1), F.col("n"), 20, order)
     per = sized.groupBy("chunk").agg(F.sum("n").alias("s"), F.max("n").alias("m")).collect()
     assert all(r.s - r.m < 20 for r in per)
+    both = batching.fixed_batches(batching.compact_parts(batching.numbered(df, order), 4), 25).collect()
+    assert {(r.id, r.part, r.batch) for r in both} == {(3 * i, i // 26 + 1, i // 25 + 1) for i in range(103)}
+    assert batching.with_position(df.limit(0), order).count() == 0
+
+
+def test_positions_run_over_many_ranges(spark):
+    df = spark.range(5000).withColumn("id", F.col("id") * 7 % 5000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        many = batching._in_ranges(df, [F.col("id").desc()])
+        assert many.select("__range").distinct().count() > 1
+        assert [r.position for r in batching.with_position(df, [F.col("id").desc()]).orderBy(F.col("id").desc()).collect()] == list(range(1, 5001))
+        running = {r.id: r.running for r in batching.with_running_sum(df, F.col("id"), [F.col("id").asc()]).collect()}
+        assert running[4999] == sum(range(5000)) and running[10] == 55
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.position for r in batching.with_position(df, [F.col("id").desc()]).orderBy(F.col("id").desc()).collect()] == list(range(1, 5001))
+    running = {r.id: r.running for r in batching.with_running_sum(df, F.col("id"), [F.col("id").asc()]).collect()}
+    assert running[4999] == sum(range(5000)) and running[10] == 55
