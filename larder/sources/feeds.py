@@ -185,7 +185,8 @@ def postal_code(text: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+    """A table with a header; a quote inside a quoted text is doubled."""
+    return spark.read.csv(path, header=True, schema=schema, escape=chr(34))
 
 
 #: Envelope keys a readiness map may sit under, and metadata keys beside bare counts (fixed values).
