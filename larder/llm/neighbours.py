@@ -8,14 +8,15 @@ reach the threshold is a candidate; a query stops growing once it has ``wanted``
 original vectors in double precision.
 
 Largest inner product becomes least distance: vectors get one more coordinate that brings them all to the
-largest norm, queries get 0 there and the same norm (order by distance is then order by inner product).
+largest norm of their block, queries get 0 there and the same norm (order by distance is then order by inner product).  A block
+holds vectors of one norm class, a power of two wide, so that the lift does not make all distances alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .registry import query, table
 
@@ -36,11 +37,13 @@ class Block:
 
     def __init__(self, vectors: np.ndarray, seed: int):
         self.vectors = vectors.astype(np.float64)
-        squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        # the search sees vectors of about unit size; scores are taken from the original ones
+        unit = self.vectors / np.abs(self.vectors).max()
+        squares = np.einsum("ij,ij->i", unit, unit)
         self.norm = float(np.sqrt(squares.max()))
         lift = np.sqrt(np.maximum(squares.max() - squares, 0.0))
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        projected = np.column_stack([self.vectors, lift]) @ self.axes
+        projected = np.column_stack([unit, lift]) @ self.axes
         order = np.argsort(projected, axis=0, kind="stable")
         self.sorted = np.take_along_axis(projected, order, axis=0).T.copy()
         self.place = np.argsort(order, axis=0).T.astype(np.uint16).copy()  # of each vector in each sorted array
@@ -49,13 +52,15 @@ class Block:
         """Row numbers of the candidates of each query."""
         n, need = len(self.vectors), int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = min(n, wanted + int(np.ceil(share * n)))
-        scaled = queries * (self.norm / np.linalg.norm(queries, axis=1, keepdims=True))
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        scaled = unit * (self.norm / np.linalg.norm(unit, axis=1, keepdims=True))
         centre = scaled @ self.axes[:-1]
         where = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre.T, strict=True)], axis=1)
         reach = max(1, int(FIRST * n / 2))
         axis = np.arange(PROJECTIONS)
         ends = self.sorted[axis, np.minimum(where + reach, n - 1)] - centre, centre - self.sorted[axis, np.maximum(where - reach, 0)]
         radius = np.maximum(np.median((ends[0] + ends[1]) / 2, axis=1), 1e-9 * max(self.norm, 1e-300))
+        widest = 4 * max(np.abs(self.sorted).max(), np.abs(centre).max(initial=0.0))
         found: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
         growing = np.arange(len(queries))
         while growing.size:
@@ -72,6 +77,9 @@ class Block:
                 hits = np.flatnonzero(inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= need)
                 if hits.size >= enough:
                     found[q] = hits
+                elif not radius[q] < widest:
+                    # every window holds the whole block
+                    found[q] = np.arange(n)
                 else:
                     still.append(q)
             growing = np.array(still, np.int64)
@@ -115,22 +123,36 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
 
 
+def norm_class(vector: str) -> Column:
+    """The power of two next to the norm; components are scaled first, so that no square is lost or overflows."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(F.transform(vector, lambda x: x / largest), F.lit(0.0), lambda a, x: a + x * x)
+    return F.round(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, seed: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found, by inner product, ties to the smaller id.
 
     Both inputs are (vec_id, v) as ``usable`` returns them.  A row never is its own query's
     neighbour, nor is another row with the same id; of queries with one id the least vector is asked.  Vectors meet only
-    vectors of their own length.  Blocks are bounded; every block of queries meets every block of vectors, and
+    vectors of their own length.  Blocks are bounded and of one norm class; every block of queries meets every block of vectors, and
     per query and block only ``k`` rows leave a task.  No queries or no vectors give no rows.
     """
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    vector_blocks, query_blocks = max(1, -(-vectors.count() // block)), max(1, -(-asked.count() // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("d", F.size("v")).withColumn("vb", F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(vector_blocks)).cast("int"))
-    left = left.withColumn("qb", every(query_blocks))
+    classed = vectors.withColumn("c", norm_class("v"))
+    # one row per norm class: the exponents of doubles are some two thousand
+    sizes = {r.c: r.n for r in classed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = [(c, i) for c, n in sorted(sizes.items()) for i in range(max(1, -(-n // block)))]
+    if not blocks:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    query_blocks = max(1, -(-asked.count() // query_block))
+    per_class = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, max(1, -(-n // block)))])
+    left = classed.withColumn("d", F.size("v")).withColumn("vb", F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), per_class[F.col("c")]).cast("int"))
+    left = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asked.withColumn("d", F.size("v")).withColumn("qb", F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(query_blocks)).cast("int"))
-    right = right.withColumn("vb", every(vector_blocks))
-    found = left.groupBy("d", "vb", "qb").cogroup(right.groupBy("d", "vb", "qb")).applyInArrow(
+    right = right.withColumn("__b", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("vb")) for c, i in blocks])))
+    right = right.select("vec_id", "v", "d", "qb", "__b.c", "__b.vb")
+    found = left.groupBy("d", "c", "vb", "qb").cogroup(right.groupBy("d", "c", "vb", "qb")).applyInArrow(
         lambda a, b: search_block(a, b, k, seed), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -48,6 +48,28 @@ def test_neighbours_in_several_blocks_and_norms(spark):
     assert len(found) == 20 * 5 and hits >= 90
 
 
+@pytest.mark.parametrize("outstanding", [1.0, 2.0, 4.0, 10.0, 1e6])
+def test_neighbours_beside_an_outstanding_norm(spark, outstanding):
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((1500, 32))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    data[777] *= outstanding
+    frame = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>"))
+    found = neighbours.nearest(frame.filter("vec_id % 20 = 0"), frame, 10).collect()
+    arrays = list(enumerate(data))
+    asked = [i for i in range(1500) if i % 20 == 0]
+    best = {q: set(brute_nearest(arrays, (q, data[q]), 10)) for q in asked}
+    hits = sum(r.vec_id in best[r.query_id] for r in found)
+    assert len(found) == 10 * len(asked) and hits >= 0.9 * len(found)
+
+
+def test_neighbours_of_extreme_components(spark):
+    data = [(i, [float(i + 1) * 10.0 ** e, 1.0]) for i, e in enumerate([160, -200, 0, 150, -300, 307, 0, 3])] + [(20, [1e160, -1e160]), (40, [1e-200, 1e-200])]
+    frame = neighbours.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    found = neighbours.nearest(frame.filter("vec_id % 20 = 0"), frame, 3).collect()
+    assert {r.query_id for r in found} == {0, 20, 40} and len(found) == 9 and all(r.vec_id != r.query_id for r in found)
+
+
 def test_neighbours_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0])]
