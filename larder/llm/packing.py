@@ -13,11 +13,13 @@ from __future__ import annotations
 import functools
 import json
 import struct
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .registry import query, table
@@ -27,7 +29,10 @@ DOCUMENTS_A_GROUP = 2048
 #: Full sequences that one group takes of a long document; what goes beyond is in groups of its own.
 FULL_A_GROUP = 8
 LONG_GROUP = 256
-CACHED_WORDS = 500_000
+#: Bytes of the words that a worker remembers with their ids, and the longest word among them: a bound by number alone would not bound the memory.
+CACHED_BYTES, LONGEST_CACHED = 32 << 20, 64
+#: Ids, in bytes, that a task holds before it hands them on, and pieces of a group that are written at once.
+BYTES_A_BATCH, PIECES_A_PART = 4 << 20, 512
 
 
 class _Words(dict):
@@ -35,14 +40,19 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, word):
         if not word or word[0].isspace():
             raise LookupError  # white space runs decide together: the whole text must be encoded at once
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(" " + word)
+        ids = self.encode(" " + word)
+        if len(word) <= LONGEST_CACHED:
+            size = sys.getsizeof(word) + sys.getsizeof(ids)
+            if self.held + size > CACHED_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = ids
+            self.held += size
         return ids
 
 
@@ -132,30 +142,40 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return bins
 
 
+def cut(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], length: int, end: bytes) -> Iterator[pa.RecordBatch]:
+    """A row per piece of the batches' texts, handed on as soon as ``BYTES_A_BATCH`` of ids are held: neither texts nor ids of a whole batch are in memory twice."""
+    seen = 0
+    for batch in batches:
+        names, texts, held, size = batch.column("doc_id"), batch.column("text"), [], 0
+        named = names.is_valid().to_pylist()
+
+        def made(held, names=names, named=named, seen=seen):
+            rows, starts, ids, whole = zip(*held, strict=True)
+            salt = pa.array([0 if named[i] else 1 + seen + i for i in rows], pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [names.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(whole, pa.int64()), salt],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "__salt"])
+
+        for i in range(batch.num_rows):
+            data = encode(texts[i].as_py() or "") + end
+            n = len(data) // 4
+            for start in range(0, n, length):
+                held.append((i, start, data[4 * start : 4 * (start + length)], n))
+                size += len(held[-1][2])
+                if size >= BYTES_A_BATCH:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+        seen += batch.num_rows
+
+
 def tokenised(docs: DataFrame, groups: int, path: str, length: int, end_id: int, seed: int, doc_id: str, text: str) -> DataFrame:
     """A row per piece: (doc_id, start, length, ids, doc_tokens, __group).  Rows without an id, which may all be alike, are told apart by their place in a task."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(path), 0
-        for batch in batches:
-            rows, starts, lengths, ids, whole = [], [], [], [], []
-            named = batch.column("doc_id").is_valid().to_pylist()
-            for i, content in enumerate(batch.column("text").to_pylist()):
-                data = encode(content or "") + end
-                n = len(data) // 4
-                for start in range(0, n, length):
-                    piece = data[4 * start : 4 * (start + length)]
-                    rows.append(i)
-                    starts.append(start)
-                    lengths.append(len(piece) // 4)
-                    ids.append(piece)
-                    whole.append(n)
-            salt = pa.array([0 if named[i] else 1 + seen + i for i in rows], pa.int64())
-            seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(whole, pa.int64()), salt],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "__salt"])
+        return cut(batches, encoder(path), length, end)
 
     lean = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = lean.schema["doc_id"].dataType.simpleString()
@@ -168,9 +188,9 @@ def tokenised(docs: DataFrame, groups: int, path: str, length: int, end_id: int,
 
 
 def pack_group(pieces: pa.Table, length: int, slack: int) -> pa.Table:
-    """Sequences of one group.  Pieces enter in falling length, then by id and start, so reruns agree."""
-    pieces = pieces.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
-    lengths = pieces.column("length").to_pylist()
+    """Sequences of one group.  Pieces enter in falling length, then by id and start, so reruns agree.  Only their order is sorted; ids are copied once, part by part."""
+    order = pc.sort_indices(pieces, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+    lengths = pieces.column("length").take(order).to_pylist()
     full = sum(n == length for n in lengths)
     bins = [*range(full), *(full + b for b in first_fit_decreasing(lengths[full:], length))]
     used = np.bincount(np.array(bins, np.int64), np.array(lengths, np.int64)).astype(np.int64).tolist() if bins else []
@@ -178,7 +198,7 @@ def pack_group(pieces: pa.Table, length: int, slack: int) -> pa.Table:
     loose = [length - n > slack for n in used]
     fresh, base = len(used), pieces.column("__group")[0].as_py() << 32
     row, start, size, seq, offset = [], [], [], [], []
-    for i, (b, n) in enumerate(zip(bins, lengths, strict=True)):
+    for i, b, n in zip(order.to_pylist(), bins, lengths, strict=True):
         at = 0
         while at < n:
             if loose[b] and not left[b]:
@@ -191,11 +211,14 @@ def pack_group(pieces: pa.Table, length: int, slack: int) -> pa.Table:
             filled[b] += take
             left[b] -= take
             at += take
-    whole = pieces.take(pa.array(row, pa.int64()))
-    ids = [data[4 * s : 4 * (s + n)] for data, s, n in zip(whole.column("ids").to_pylist(), start, size, strict=True)]
+    whole = pieces.select(["doc_id", "start", "doc_tokens"]).take(pa.array(row, pa.int64()))
+    data, ids = pieces.column("ids"), []
+    for at in range(0, len(row), PIECES_A_PART):
+        part = slice(at, at + PIECES_A_PART)
+        ids.append(pa.array([data[i].as_py()[4 * s : 4 * (s + n)] for i, s, n in zip(row[part], start[part], size[part], strict=True)], pa.binary()))
     starts = np.array(whole.column("start").to_pylist(), np.int64) + np.array(start, np.int64)
     return pa.table({
-        "doc_id": whole.column("doc_id"), "start": starts, "length": pa.array(size, pa.int64()), "ids": pa.array(ids, pa.binary()),
+        "doc_id": whole.column("doc_id"), "start": starts, "length": pa.array(size, pa.int64()), "ids": pa.chunked_array(ids, pa.binary()),
         "doc_tokens": whole.column("doc_tokens"), "sequence_id": pa.array(seq, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
 

@@ -1,11 +1,14 @@
 """Exact and near duplicates, mixing, packing, sharding: brute force, round trips and odd rows."""
 
 import hashlib
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -156,6 +159,48 @@ def test_mix_repeats_whole_documents(odd):
 
 # packing
 
+def test_packing_remembers_words_within_a_size():
+    words = packing._Words(lambda word: word.encode() * 4)
+    for i in range(2_000):
+        assert words[f"{i}:" + "x" * 5_000] == (f" {i}:" + "x" * 5_000).encode() * 4
+    for i in range(200_000):
+        words[f"word{i}"]
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in words.items()) <= 32 << 20
+
+
+def test_packing_hands_pieces_on_before_a_batch_is_done():
+    def cut(batches):
+        return list(packing.cut(batches, lambda text: b"\x07\0\0\0" * int(text or 0), 2048, b"\x01\0\0\0"))
+
+    sizes = [0, None, 5_000_000, *[1_000] * 3_000, 2_047, 2_048]
+    batch = pa.RecordBatch.from_arrays([pa.array([i if i % 2 else None for i in range(len(sizes))], pa.int64()), pa.array([None if n is None else str(n) for n in sizes])], names=["doc_id", "text"])
+    got = cut([batch, batch.slice(0, 0), batch.slice(0, 2)])
+    assert max(sum(len(x.as_py()) for x in b.column("ids")) for b in got) < (4 << 20) + 4 * 2048
+    rows = pa.Table.from_batches(got).to_pylist()
+    want = [(None if i is None else i, start, min(2048, (n or 0) + 1 - start), (n or 0) + 1, salt) for i, n, salt in
+            [*((i if i % 2 else None, n, 0 if i % 2 else 1 + i) for i, n in enumerate(sizes)), (None, 0, 1 + len(sizes)), (1, None, 0)] for start in range(0, (n or 0) + 1, 2048)]
+    assert [(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["__salt"]) for r in rows] == want
+    assert all(len(r["ids"]) == 4 * r["length"] and r["ids"].endswith(b"\x01\0\0\0") == (r["start"] + r["length"] == r["doc_tokens"]) for r in rows)
+
+
+def test_packing_a_group_copies_its_ids_part_by_part():
+    size = [1 + 37 * i % 2048 for i in range(4_096)]
+    group = pa.table({"doc_id": pa.array(range(4_096), pa.int64()), "start": pa.array([0] * 4_096, pa.int64()), "length": pa.array(size, pa.int64()),
+                      "ids": pa.array([i.to_bytes(4, "little") * n for i, n in enumerate(size)], pa.binary()), "doc_tokens": pa.array(size, pa.int64()), "__group": pa.array([1] * 4_096, pa.int64())})
+    tracemalloc.start()
+    try:
+        packed = packing.pack_group(group, 2048, 32)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * sum(size)  # half of the ids' bytes
+    data = defaultdict(bytes)
+    for p in sorted(packed.to_pylist(), key=lambda p: (p["doc_id"], p["start"])):
+        assert len(p["ids"]) == 4 * p["length"] and 4 * p["start"] == len(data[p["doc_id"]])
+        data[p["doc_id"]] += p["ids"]
+    assert data == {i: i.to_bytes(4, "little") * n for i, n in enumerate(size)}
+
+
 def test_packing_is_a_round_trip(odd, odd_rows):
     from tokenizers import Tokenizer
 
