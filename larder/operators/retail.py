@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import calendar as cal
 from ..functions.policy import POLICY_VERSION
 from ..operators.versions import latest_per_key, upsert_if_changed
+from ..session import exchanged
 from .linking import TAP_WATER
 
 LOCAL_TTL_MINUTES = 30
@@ -23,7 +24,7 @@ def approved_observations(connections: DataFrame, observations: DataFrame, usabl
     live = connections.filter((F.col("status") == "matched") & (F.col("policy_version") == POLICY_VERSION))
     wanted = live.select("ingredient_id", "name", "main_product_id", F.explode("approved").alias("__a")).select(
         "ingredient_id", "name", "main_product_id", F.col("__a.product_id").alias("product_id"), F.col("__a.identity").alias("approved_identity"))
-    return wanted.join(observations, "product_id").filter((F.col("approved_identity") == F.col("identity")) & usable & policy_reason.isNull())
+    return wanted.join(exchanged(observations), "product_id").filter((F.col("approved_identity") == F.col("identity")) & usable & policy_reason.isNull())
 
 
 def map_local_ids(approved: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +57,7 @@ def connection_health(connections: DataFrame, usable: DataFrame, identity_change
     aggregates; the unit count decides between them afterwards, so no window is needed.
     """
     main = connections.select("ingredient_id", "main_product_id")
-    rows = usable.join(main, "ingredient_id")
+    rows = usable.join(exchanged(main), "ingredient_id")
     costed = F.col("unit_cost").isNotNull()
     is_main = (F.col("product_id") == F.col("main_product_id")).cast("int")
     unit = F.coalesce("unit", F.lit("unknown"))
@@ -64,8 +65,8 @@ def connection_health(connections: DataFrame, usable: DataFrame, identity_change
         F.min(unit).alias("__u"), F.max(unit).alias("__v"),
         F.min(F.when(costed, F.struct("unit_cost", "product_id"))).alias("__cheap"),
         F.min(F.when(costed, F.struct((-is_main).alias("m"), F.col("product_id")))).alias("__main"))
-    joined = connections.join(picks, "ingredient_id", "left").join(
-        identity_changes.select("ingredient_id").distinct().withColumn("__changed", F.lit(True)), "ingredient_id", "left")
+    joined = connections.join(exchanged(picks), "ingredient_id", "left").join(
+        exchanged(identity_changes.select("ingredient_id").distinct().withColumn("__changed", F.lit(True))), "ingredient_id", "left")
     chosen = F.when(F.col("__u") == F.col("__v"), F.col("__cheap.product_id")).otherwise(F.col("__main.product_id"))
     reviewed, changed = F.col("status") == "matched", F.coalesce("__changed", F.lit(False))
     status = F.when(~reviewed, F.col("status")).when(chosen.isNotNull(), "matched").when(changed, "needs_review").otherwise("unavailable")

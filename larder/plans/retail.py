@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal, hashing, policy, pricing
 from ..functions.text import fold_text
 from ..operators import quality, retail as rt, review as rv
+from ..session import exchanged
 from ..sources import feeds
 from . import mapping as m
 from .baskets import lot
@@ -56,7 +57,7 @@ _LOTS = "(SELECT *, first_value(p_name) OVER (PARTITION BY p_partkey // 3 ORDER
 def connections(t: Tables):
     """A reviewed connection per lot of three parts, so that every part is connected; the lowest one is the main product."""
     goods = packages(t).select("product_id", "identity")
-    long = lots(t).select("ingredient_id", F.explode("approved").alias("product_id")).join(goods, "product_id")
+    long = lots(t).select("ingredient_id", F.explode("approved").alias("product_id")).join(exchanged(goods), "product_id")
     broken = F.when(F.col("product_id") % 11 == 0, F.lit("{}")).otherwise(F.col("identity"))
     rows = long.groupBy("ingredient_id").agg(
         F.array_sort(F.collect_list(F.struct("product_id", broken.alias("identity")))).alias("approved"), F.min("product_id").alias("main_product_id"))
@@ -101,7 +102,7 @@ def connection_health(t: Tables):
     usable = rt.approved_observations(rows, goods, _usable(), F.lit(None).cast("string")).select(
         "ingredient_id", "product_id", F.col("pack.unit").alias("unit"), (F.col("amount_ore") / F.col("pack.quantity")).alias("unit_cost"))
     approved = rows.filter("status = 'matched'").select("ingredient_id", F.explode("approved").alias("a")).select("ingredient_id", "a.*")
-    changed = approved.withColumnRenamed("identity", "was").join(goods, "product_id").filter(F.col("was") != F.col("identity"))
+    changed = approved.withColumnRenamed("identity", "was").join(exchanged(goods), "product_id").filter(F.col("was") != F.col("identity"))
     return rt.connection_health(rows, usable, changed).select("ingredient_id", "health", "product_id", "reason")
 
 
