@@ -39,3 +39,8 @@ def broadcast_sides(df):
 def test_connection_health_collects_no_parts(spark, folder):
     assert not [x for x in broadcast_sides(QUERIES["connection_health"](spark, folder)) if "p_partkey" in x]
     assert QUERIES["connection_health"](spark, folder).count() == 4
+
+
+def test_run_summary_collects_no_parts(spark, folder):
+    assert not [x for x in broadcast_sides(QUERIES["run_summary"](spark, folder)) if "p_partkey" in x]
+    assert QUERIES["run_summary"](spark, folder).first().checked > 0
