@@ -44,3 +44,12 @@ def test_connection_health_collects_no_parts(spark, folder):
 def test_run_summary_collects_no_parts(spark, folder):
     assert not [x for x in broadcast_sides(QUERIES["run_summary"](spark, folder)) if "p_partkey" in x]
     assert QUERIES["run_summary"](spark, folder).first().checked > 0
+
+
+@pytest.mark.parametrize("name", ["menu_ranking"])
+def test_lines_are_read_once(spark, folder, name):
+    """What lines come to is stored as columns: neither lines nor checkpoints are read by the result."""
+    out = QUERIES[name](spark, folder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "ExistingRDD" not in plan and "stored_" in plan
+    assert out.count() > 0
