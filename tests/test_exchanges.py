@@ -46,7 +46,7 @@ def test_run_summary_collects_no_parts(spark, folder):
     assert QUERIES["run_summary"](spark, folder).first().checked > 0
 
 
-@pytest.mark.parametrize("name", ["menu_ranking", "finalist_pricing", "basket_line_totals", "basket_optimisation", "equivalent_demands"])
+@pytest.mark.parametrize("name", ["menu_ranking", "finalist_pricing", "basket_line_totals", "basket_optimisation", "equivalent_demands", "reference_estimate"])
 def test_lines_are_read_once(spark, folder, name):
     """What lines come to is stored as columns: neither lines nor checkpoints are read by the result."""
     out = QUERIES[name](spark, folder)
