@@ -4,7 +4,8 @@ import datetime as dt
 
 import pytest
 
-from larder.plans import QUERIES
+from larder.plans import QUERIES, baskets
+from larder.plans.registry import Tables
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,10 @@ def test_lines_are_read_once(spark, folder, name):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "ExistingRDD" not in plan and "stored_" in plan
     assert out.count() > 0
+
+
+@pytest.mark.parametrize("name", ["basket_components"])
+def test_coupled_options_collect_no_parts(spark, folder, name):
+    options = baskets.coupled_options(Tables(spark, folder), baskets.neighbouring_lots())
+    assert not [x for x in broadcast_sides(options.select("menu_id", "ingredient_id", "product_id")) if "p_partkey" in x]
+    assert QUERIES[name](spark, folder).count() > 0
