@@ -56,7 +56,7 @@ def test_lines_are_read_once(spark, folder, name):
     assert out.count() > 0
 
 
-@pytest.mark.parametrize("name", ["basket_components"])
+@pytest.mark.parametrize("name", ["basket_components", "coupled_cover"])
 def test_coupled_options_collect_no_parts(spark, folder, name):
     options = baskets.coupled_options(Tables(spark, folder), baskets.neighbouring_lots())
     assert not [x for x in broadcast_sides(options.select("menu_id", "ingredient_id", "product_id")) if "p_partkey" in x]
